@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, mixing, simhash, token_files
+from tidemark.llm import decontaminate, line_dedup, mixing, simhash, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -108,5 +113,16 @@ WITH d AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(gone.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(CASE WHEN gone.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM l LEFT JOIN gone USING (key) GROUP BY doc_id
+""",
+    "op7_warc": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM r
 """,
 }
