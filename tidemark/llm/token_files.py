@@ -15,6 +15,7 @@ null text is empty and gives the end id alone; an empty table has no shard.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -33,7 +34,7 @@ MAGIC = b"TMPLANE1"
 BLOCK = 1 << 16
 PLANES = 4
 #: Words a tokenizer remembers in one worker, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 800_000, 48
 
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 PER_DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -58,15 +59,50 @@ class WordTokenizer:
         pieces = text.replace("\n", " ").split(" ")
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [x for x in set(pieces).difference(self.known)]
-        once = {}
+        new = set(pieces).difference(self.known)
+        long = {x for x in new if len(x) > LONGEST}
         if new:
-            for piece, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                (self.known if len(piece) <= LONGEST else once)[piece] = np.asarray(made.ids, "<u4").tobytes()
-        if once:
-            return b"".join([self.known[x] if x in self.known else once[x] for x in pieces])
+            self._learn(new - long)
+        if long:
+            once = {x: self._ids(x) for x in long}
+            return b"".join([once[x] if x in once else self.known[x] for x in pieces])
         return b"".join(map(self.known.__getitem__, pieces))
 
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces: an ASCII word and a comma or full stop after it on their
+        own, in lower case, so that all spellings of a word are encoded once."""
+        parts = {x: self._parts(x) for x in pieces}
+        words = list({y for both in parts.values() for y in both if y not in self.known})
+        if words:
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            starts = np.cumsum(lengths + 1) - lengths - 1
+            made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids = np.asarray(made.ids, "<u4")
+            owner = np.searchsorted(starts, np.fromiter((a for a, _ in made.offsets), np.int64, len(ids)), "right") - 1
+            ends = np.searchsorted(owner, np.arange(len(words)), "right").tolist()
+            data, at = ids.tobytes(), 0
+            for word, end in zip(words, ends):
+                self.known[word] = data[4 * at : 4 * end]
+                at = end
+        for x, both in parts.items():
+            self.known[x] = b"".join([self.known[y] for y in both])
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, ...]:
+        if not piece.isascii() or "<|" in piece:  # names of special tokens are told by case
+            return (piece,)
+        low = piece.lower()
+        return (low[:-1], low[-1]) if low[-1:] in (",", ".") and low[:-1].isalpha() else (low,)
+
+
+@functools.lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker and file: what it remembers serves the worker's later tasks."""
+    return WordTokenizer(path)
+
 
 class ShardWriter:
     def __init__(self, folder: str, name: str):
@@ -151,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
     end = int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard, out = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), None
+        words, shard, out = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if out is None:
