@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.merge import counted, merged
+from tidemark.operators.merge import merged
 from tidemark.sources import files
 from tidemark.spec import UPSERT, Clause
 
@@ -69,16 +69,21 @@ class SnapshotTable:
         touched = sorted(r[0] for r in page.select(self.bucket(keys)).distinct().collect())  # at most ``buckets`` numbers
         schema = T.StructType.fromJson(manifest["schema"]) if manifest["schema"] else (schema or page.schema)
         target = self.read(manifest, touched, empty_as=schema)
-        rows, seen = counted(merged(target, page, keys, clauses))
+        rows = merged(target, page, keys, clauses).where("_action != 'delete'").withColumn("_bucket", self.bucket(keys))
         folder = f"{self.path}/data/{manifest['version'] + 1:010d}-{uuid.uuid4().hex[:12]}"
-        placed = rows.withColumn("_bucket", self.bucket(keys))
         # The merge's own shuffle is by keys, not by bucket; one more deals each bucket to one writer.
-        placed.repartition(min(self.buckets, max(1, len(touched))), "_bucket").write.partitionBy("_bucket").parquet(folder)
-        held = {str(r["_bucket"]): r["n"] for r in self.spark.read.parquet(folder).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()} if seen.get["keep"] + seen.get["update"] + seen.get["insert"] else {}
+        rows.repartition(min(self.buckets, max(1, len(touched))), "_bucket").write.partitionBy("_bucket").parquet(folder)
+        wrote = self.spark.read.schema(rows.schema).parquet(folder).groupBy("_bucket", "_action").agg(F.count(F.lit(1)).alias("n")).collect()
+        did, held = dict.fromkeys(("keep", "update", "insert"), 0), {}
+        for r in wrote:
+            did[r["_action"]] += r["n"]
+            held[str(r["_bucket"])] = held.get(str(r["_bucket"]), 0) + r["n"]
+        before = sum(b["rows"] for k, b in manifest["buckets"].items() if int(k) in touched)
+        did["delete"] = before - did["keep"] - did["update"]
         buckets = {k: b for k, b in manifest["buckets"].items() if int(k) not in touched}
         buckets |= {k: {"path": f"{folder}/_bucket={k}", "rows": n} for k, n in held.items()}
         self.publish(manifest, keys=list(keys), schema=schema.jsonValue(), buckets=buckets, state=state if state is not None else manifest["state"])
-        return seen.get
+        return did
 
     def vacuum(self, kept: int = KEPT) -> None:
         """Delete the data and manifests of all but the last ``kept`` versions."""
