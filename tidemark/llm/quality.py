@@ -86,7 +86,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> dict:
     random = np.random.default_rng(SEED)
     share = float(labels.mean()) if len(labels) else 0.5
     model = {"bias": 0.0, "w": np.zeros(DIMENSIONS), "v": random.normal(0, 0.05, (DIMENSIONS, RANK))}
-    if not 0 < share < 1:
+    if not len(rows) or not 0 < share < 1:
         return {"bias": float(np.log((share + 1e-9) / (1 - share + 1e-9))), "w": np.zeros(DIMENSIONS), "v": np.zeros((DIMENSIONS, RANK))}
     model["bias"] = float(np.log(share / (1 - share)))
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
