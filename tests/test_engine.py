@@ -267,3 +267,32 @@ def test_core_does_not_import_llm():
 
     code = "import sys, tidemark.queries; assert not [m for m in sys.modules if m.startswith('tidemark.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_http(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from tidemark.plans import http_api
+
+    put(spark, ROWS)
+    manager = RunManager(Engine(spark, f"file://{tmp_path}"), PipelineSpec((dataclasses.replace(T, group=1),)))
+    ask = lambda method, path: http_api.answer(manager, method, path)
+    assert ask("POST", "/run/group/x")[0] == 400 and ask("POST", "/run/group/7")[0] == 404 and ask("POST", "/run/target/nope")[0] == 404
+    manager.reserve([manager.pipeline.targets[0]])
+    assert ask("POST", "/run")[0] == 409
+    manager.release([manager.pipeline.targets[0]])
+    assert ask("GET", "/api/targets/t/ddl")[1]["targetTableExists"] is False
+    code, body = ask("POST", "/run")
+    assert code == 202 and body["targets"] == ["t"] and body["skipped"] == []
+    manager.shutdown()
+    server = http_api.server(manager, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/status") as r:
+        assert json.load(r)["targets"][0]["targetRowCount"] == 11
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/metrics") as r:
+        assert b'etl_rows_loaded_total{target="t"} 11' in r.read()
+    server.shutdown()
+    assert [ask("GET", p)[0] for p in ("/live", "/ready", "/health", "/config", "/api/targets", "/api/targets/t", "/api/targets/t/ddl", "/nope")] == [200] * 7 + [404]
+    assert "PRIMARY KEY (id, sub)" in ask("GET", "/api/targets/t/ddl")[1]["targetDdl"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import seek
 from tidemark.operators.staging import positional, statistics
-from tidemark.sources import catalog
+from tidemark.sources import catalog, files
 from tidemark.spec import TargetSpec
 
 
@@ -33,10 +33,13 @@ def page_trace(rows: DataFrame, spec: TargetSpec) -> DataFrame:
     """What the page loop over ``rows`` does, in one pass: per page its number, rows,
     running rows, last watermark and last keys.
 
-    Range partitions in page order are numbered from their counts, so no task holds
-    more than one range, whatever the number of pages."""
-    order = seek.order(spec)
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    Ranges in page order are written once and numbered from their counts, so no task
+    holds more than one range, whatever the number of pages, and a task that runs
+    again sees the same ranges."""
+    spark, order = rows.sparkSession, seek.order(spec)
+    ranged = rows.select(spec.watermarkColumn, *spec.keyColumns).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(at := files.fresh(spark, "ranges"))
+    ranged = spark.read.schema(ranged.schema).parquet(at)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     heads = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
     within = Window.partitionBy("_part").orderBy(*order)

@@ -165,11 +165,11 @@ def string_staging_typed_max(spark, sf_dir):
     return spark.createDataFrame(_TEXTS, "n string").agg(F.max(watermark.parsed(F.col("n"), NUMBER)).cast("string").alias("wm"))
 
 
-@register("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5000 OFFSET 5000")
+@register("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 600 OFFSET 600")
 def staging_replace(spark, sf_dir):
     """After two pages staging has the second alone."""
     sources(spark, sf_dir, "orders")
-    loop = paging.pages(spark, dataclasses.replace(ORDERS, pageSize=5000), watermark.effective(ORDERS, None), None, files.fresh(spark, "staging"))
+    loop = paging.pages(spark, dataclasses.replace(ORDERS, pageSize=600), watermark.effective(ORDERS, None), None, files.fresh(spark, "staging"))
     next(loop)
     return next(loop)[0]
 
@@ -556,9 +556,9 @@ def ddl_columns(spark, sf_dir):
 _TIMES = [(datetime(2026, 4, 17, 10, 0, 0),), (datetime(1999, 12, 31, 23, 59, 59, 123456),)]
 
 
-@register(f"SELECT strftime(at, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', at)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM {values(_TIMES, 'at')}")
+@register(f"SELECT strftime(moment, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', moment)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM {values(_TIMES, 'moment')}")
 def iso_utc_format(spark, sf_dir):
-    return spark.createDataFrame(_TIMES, "at timestamp_ntz").select(render.iso_utc(F.col("at")).alias("iso"))
+    return spark.createDataFrame(_TIMES, "moment timestamp_ntz").select(render.iso_utc(F.col("moment")).alias("iso"))
 
 
 _MS = [(0,), (999,), (5_000,), (59_999,), (60_000,), (125_400,), (3_600_000,)]
