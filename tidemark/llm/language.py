@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 ORDER = 4
 PER_LANGUAGE = 3_000
+#: Languages at most; each has a model in every scoring task.
+MOST_LANGUAGES = 1_000
 #: One sample row in so many calibrates instead of being counted.
 CALIBRATE = 8
 UNDETERMINED = "und"
@@ -180,9 +182,14 @@ def held_out(doc_id: Column) -> Column:
 def sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text, calibrates): about ``per_language`` rows (doc_id, text, lang) of each language."""
     rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return rows.select("lang", "text", F.lit(False).alias("calibrates"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.join(sizes, "lang").where(draw * F.col("n") < per_language)
+    # Each row is drawn where it is; only the sample moves.
+    rows = rows.where(draw * F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] < per_language)
     return rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit("c"), "doc_id"), F.lit(CALIBRATE)) == 0).alias("calibrates"))
 
 
