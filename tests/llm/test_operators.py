@@ -265,17 +265,17 @@ def brute_hits(text, items):
         for k in range(len(words) - m + 1 if m else 0):
             if tuple(words[k : k + m]) in windows:
                 hit |= set(range(k, k + m))
-                named.add(str(name))
+                named |= set() if name is None else {str(name)}
     return words, hit, named
 
 
-ITEMS = [(k, prose(200 + k, 30)) for k in range(6)] + [(10, "short item"), (11, "one"), (12, ""), (13, None), (2, prose(202, 30)), (14, prose(200, 13)), (15, "ABC abc ABC abc"), (16, "abc")]
+ITEMS = [(k, prose(200 + k, 30)) for k in range(6)] + [(10, "short item"), (11, "one"), (12, ""), (13, None), (2, prose(202, 30)), (14, prose(200, 13)), (15, "ABC abc ABC abc"), (16, "abc"), (None, prose(207, 20))]
 
 
 @pytest.mark.parametrize("block_words", [10**6, 40])
 def test_decontamination(spark, docs, block_words):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    dirty = [(900, prose(900, 50) + " " + prose(201, 30)[10:] + ". tail"), (901, "a SHORT, item!"), (902, prose(203, 12)), (903, prose(203, 14) + " x " + prose(204, 30)), (904, "abc ABC abc abc abc one"), (905, prose(905, 600) + " " + prose(205, 15))]
+    dirty = [(900, prose(900, 50) + " " + prose(201, 30)[10:] + ". tail"), (901, "a SHORT, item!"), (902, prose(203, 12)), (903, prose(203, 14) + " x " + prose(204, 30)), (904, "abc ABC abc abc abc one"), (905, prose(905, 600) + " " + prose(205, 15)), (906, prose(207, 20))]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(dirty, "doc_id long, text string"))
     texts = both.collect()
     found = decontaminate.find(both, items, ["doc_id"], block_words=block_words)
@@ -288,7 +288,7 @@ def test_decontamination(spark, docs, block_words):
         assert r.n_words == len(words) and sorted(named) == r["items"]
         assert {k for s in r.spans for k in range(s.a, s.b)} == hit
     kept = {r.doc_id: r.text for r in decontaminate.clean(both, items).collect()}
-    assert not {900, 901, 903} & set(kept) and 902 in kept and {k for k in range(30)} <= set(kept)
+    assert not {900, 901, 903, 906} & set(kept) and 902 in kept and {k for k in range(30)} <= set(kept)
     assert kept[905].startswith(prose(905, 600)) and not brute_hits(kept[905], ITEMS)[1]
     assert all(kept[k] == t for k, t in texts if k in kept and not brute_hits(t, ITEMS)[1])
 
@@ -470,6 +470,12 @@ def test_near_duplicates(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    made = [(None, prose(1, 50)), (None, prose(1, 50)), (None, prose(2, 50)), (None, prose(3, 50)), (3, prose(3, 50)), (4, prose(4, 50)), (4, prose(4, 50))]
+    out = simhash.one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted({(None, prose(1, 50)), (None, prose(2, 50)), (3, prose(3, 50)), (4, prose(4, 50))}, key=str)
+
+
 @pytest.mark.parametrize("pairs_up_to", [128, 2])
 def test_links_lose_nothing(spark, monkeypatch, pairs_up_to):
     monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)

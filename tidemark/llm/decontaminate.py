@@ -12,11 +12,13 @@ own), and documents pass through one automaton after the other, adding up their
 spans.  No item or document is cut or left out.
 
 Defined cases: null text has no words and no hits; an item without words matches
-nothing; equal items match together; an empty benchmark leaves all clean.
+nothing, one without an id is hit but not named; equal items match together; an
+empty benchmark leaves all clean.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -146,23 +148,21 @@ class Automaton:
         return spans, items
 
 
-def item_blocks(items: DataFrame, most: int = BLOCK_WORDS) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks, each small enough for one automaton.  The driver reads
-    the benchmark's rows one after the other; it is a list of tests, not corpus data."""
-    rows = items.select(F.col("item_id").cast("string"), F.encode(F.col("text"), "UTF-8")).where("item_id is not null")
-    blocks: list[list[tuple[str, bytes]]] = []
-    held = most
+def item_blocks(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items in blocks, each small enough for one automaton.  The driver reads the
+    benchmark's rows one after the other and holds one block at a time."""
+    rows = items.select(F.col("item_id").cast("string"), F.encode(F.col("text"), "UTF-8"))
+    block, held = [], 0
     for name, text in rows.toLocalIterator():
         text = bytes(text or b"")
         n = len(words_of(text))
-        if not n:
-            continue
-        if held + n > most:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((name, text))
-        held += n
-    return blocks
+        if block and held + n > most:
+            yield block
+            block, held = [], 0
+        if n:
+            block.append((name, text))
+            held += n
+    yield block
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -177,21 +177,25 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 
 def find(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: ``row``, a struct of the columns in ``carry``, with n_words,
-    spans (hit words, [a, b), merged) and items (ids of the items found, as sorted strings)."""
-    spark = docs.sparkSession
-    separate = "text" not in carry
+    spans (hit words, [a, b), merged) and items (ids of the items found, as sorted strings).
+    With the text in ``carry``, ``rest`` is the text without the spans, null where there are none."""
+    spark, separate = docs.sparkSession, "text" not in carry
     out = docs.select(F.struct(*carry).alias("row"), *([F.col("text").alias("body")] if separate else []))
     out = out.withColumns({"spans": F.expr("cast(array() as array<struct<a:int,b:int>>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long")})
-    blocks = item_blocks(items, block_words) or [[]]
-    for k, block in enumerate(blocks):
-        last = k + 1 == len(blocks)
+    blocks = item_blocks(items, block_words)
+    block = next(blocks)
+    while block is not None:
+        sent, block = spark.sparkContext.broadcast(block), next(blocks, None)
+        last = block is None
         fields = [f for f in out.schema if f.name != "body" or not last]
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), window, separate, last), T.StructType(fields))
-    return out.select("row", "n_words", "spans", "items")
+        fields += [T.StructField("rest", T.StringType())] if last and not separate else []
+        out = out.mapInArrow(_pass(sent, window, separate, last), T.StructType(fields))
+    return out
 
 
 def _pass(sent, window: int, separate: bool, last: bool):
-    """One automaton's work on the rows of a task; the body goes on only if another follows."""
+    """One automaton's work on the rows of a task.  A separate body goes on only if
+    another automaton follows; the last one cuts the spans out of a carried text."""
     held: list[Automaton] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +203,19 @@ def _pass(sent, window: int, separate: bool, last: bool):
             held.append(Automaton([(name, words_of(text)) for name, text in sent.value], window))
         for batch in batches:
             texts = batch.column("body") if separate else batch.column("row").field("text")
-            spans, items, counts = [], [], []
+            spans, items, counts, rests = [], [], [], []
             for text, s, i in zip(texts.cast(pa.binary()), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                words = words_of(text.as_py() or b"")
+                text = text.as_py() or b""
+                words = words_of(text)
                 more, found = held[0].search(words)
-                spans.append([{"a": a, "b": b} for a, b in _merged([[x["a"], x["b"]] for x in s] + more)])
-                items.append(sorted({*i, *found}))
+                own = _merged([[x["a"], x["b"]] for x in s] + more)
+                spans.append([{"a": a, "b": b} for a, b in own])
+                items.append(sorted({*i, *found} - {None}))
                 counts.append(len(words))
+                rests.append(without_spans(text.decode(), own) if own and last and not separate else None)
             made = {"row": batch.column("row")} | ({"body": texts} if separate and not last else {})
             made |= {n: pa.array(v, batch.schema.field(n).type) for n, v in (("spans", spans), ("items", items), ("n_words", counts))}
+            made |= {"rest": pa.array(rests, pa.string())} if last and not separate else {}
             yield pa.RecordBatch.from_pydict(made)
 
     return run
@@ -228,10 +236,8 @@ def report(docs: DataFrame, items: DataFrame, coverage: int = COVERAGE) -> DataF
     )
 
 
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+def without_spans(text: str, spans: list[list[int]]) -> str:
     """The text without the words of ``spans`` and what stands between them."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     out, end = [], 0
     for a, b in spans:
@@ -243,20 +249,7 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, items: DataFrame, coverage: int = COVERAGE) -> DataFrame:
     """``docs`` without contaminated documents.  Documents under the coverage limit
     stay, without the hit spans, each of which is as long as a window; their n_chars follows."""
-    names = docs.columns
-    found = find(docs, items, names).withColumn("n_hit", _hit()).where(f"not (n_hit > 0 and {coverage} * n_hit >= n_words)")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for k, spans in enumerate(batch.column(1).to_pylist()):
-                if spans:
-                    texts[k] = without_spans(texts[k], [(s["a"], s["b"]) for s in spans])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
-
-    shape = T.StructType([T.StructField("text", T.StringType()), found.schema["row"]])
-    made = found.select("row.text", "spans", "row").mapInArrow(cut, shape)
-    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
-    columns = [F.col(f"row.`{n}`").alias(n) for n in names if n not in ("text", "n_chars")]
-    made = made.select(*columns, F.col("text"), *([F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")] if "n_chars" in names else []))
-    return made.select(*names)
+    found = find(docs, items, docs.columns).withColumn("n_hit", _hit()).where(f"not (n_hit > 0 and {coverage} * n_hit >= n_words)")
+    new = {"text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
+    own = lambda n: F.col(f"row.`{n}`")
+    return found.select(*[(F.when(F.col("rest").isNotNull(), new[n]).otherwise(own(n)) if n in new else own(n)).alias(n) for n in docs.columns])
