@@ -54,9 +54,11 @@ def _letters() -> np.ndarray:
 def units(text: str) -> np.ndarray:
     """Lower-case letters, with one space between and around words; empty without letters."""
     low = text.lower()
-    if not low.isascii() and max(low) > "￿":
-        low = "".join(c if c <= "￿" else chr(_ASTRAL) if c.isalpha() else " " for c in low)
-    raw = np.frombuffer(low.encode("utf-16-le", "surrogatepass"), np.uint16)
+    data = low.encode("utf-16-le", "surrogatepass")
+    if len(data) > 2 * len(low):  # letters beyond the basic plane
+        low = "".join(c if c <= "\uffff" else chr(_ASTRAL) if c.isalpha() else " " for c in low)
+        data = low.encode("utf-16-le", "surrogatepass")
+    raw = np.frombuffer(data, np.uint16)
     letter = _letters()[raw]
     if not letter.any():
         return np.empty(0, np.uint16)

@@ -23,7 +23,8 @@ and costs the same for each fingerprint however many there are.
 Defined cases: null text and text without words have the fingerprint zero, and
 link like any other; shorter texts than three words have one shingle, the whole
 sequence; doc_id names a document, repeated rows of one id are one document; a
-null doc_id is never the smallest unless a component has no other.
+null doc_id is never the smallest unless a component has no other; then its rows
+are told apart by text.
 """
 
 from __future__ import annotations
@@ -73,15 +74,19 @@ def fingerprint(text: bytes) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, fp, the fingerprint as a signed long, and a digest of the text, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             values = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], ["doc_id", "fp", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(run, "doc_id long, fp long, digest long")
+
+
+def _digest():
+    return F.xxhash64("text")
 
 
 @functools.cache
@@ -171,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fp (signed long), component_id."""
+    """Per row of ``docs`` (doc_id, text): doc_id, fp (signed long), component_id, and the text's digest."""
     spark, at = docs.sparkSession, shared_path(docs.sparkSession, "simhash")
     rows = materialised(with_fingerprint(docs), f"{at}/rows")
     fps = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), f"{at}/fps")
@@ -181,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     tied = materialised(tied.join(smallest, "root").select(F.col("fp").alias("tied_fp"), "component_id"), f"{at}/tied")
     out = rows.join(tied, F.col("fp") == F.col("tied_fp"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("tied_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("tied_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest")
 
 
 def fingerprint_hex(fp) -> F.Column:
@@ -189,12 +194,14 @@ def fingerprint_hex(fp) -> F.Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id."""
+    """``docs`` with one document of each component, that of the smallest doc_id.  Where a
+    component has no doc_id at all, one row for each of its different texts stays."""
     names = docs.columns
-    kept = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     kept = materialised(kept, shared_path(docs.sparkSession, "simhash-kept"))
-    whole = docs.select(F.col("doc_id"), F.struct(*names).alias("row"))
-    out = whole.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"))
-    if kept.where("n > 1").limit(1).count():
-        out = out.select("d.doc_id", "row").groupBy("doc_id").agg(F.min("row").alias("row"))
+    whole = docs.select(F.col("doc_id"), _digest().alias("digest"), F.struct(*names).alias("row"))
+    out = whole.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.digest = k.digest")).select("d.doc_id", "d.digest", "row")
+    repeated = kept.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        out = out.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("digest"))).agg(F.min("row").alias("row"))
     return out.select("row.*")
