@@ -62,7 +62,7 @@ class Engine:
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def table(self, spec: TargetSpec) -> SnapshotTable:
-        return SnapshotTable(self.spark, f"{self.warehouse}/{spec.name}")
+        return SnapshotTable(self.spark, f"{self.warehouse}/{spec.name}", spec.buckets)
 
     def read(self, spec: TargetSpec) -> DataFrame:
         return self.table(spec).read()

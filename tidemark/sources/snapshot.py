@@ -32,7 +32,8 @@ class ConcurrentUpdate(RuntimeError):
 
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = self.manifest().get("n_buckets") or buckets  # fixed when the table is first published
 
     def manifest(self) -> dict:
         """The newest version; without one an empty version 0."""
@@ -42,7 +43,7 @@ class SnapshotTable:
         return json.loads(files.read(self.spark, f"{self.path}/manifests/{found[-1]}"))
 
     def publish(self, manifest: dict, **changes) -> dict:
-        new = {**manifest, **changes, "version": manifest["version"] + 1}
+        new = {**manifest, **changes, "version": manifest["version"] + 1, "n_buckets": self.buckets}
         name = f"{self.path}/manifests/{new['version']:010d}.json"
         if not files.publish(self.spark, name, json.dumps(new)):
             raise ConcurrentUpdate(f"{name} exists")
@@ -71,8 +72,9 @@ class SnapshotTable:
         target = self.read(manifest, touched, empty_as=schema)
         rows = merged(target, page, keys, clauses).where("_action != 'delete'").withColumn("_bucket", self.bucket(keys))
         folder = f"{self.path}/data/{manifest['version'] + 1:010d}-{uuid.uuid4().hex[:12]}"
-        # The merge's own shuffle is by keys, not by bucket; one more deals each bucket to one writer.
-        rows.repartition(min(self.buckets, max(1, len(touched))), "_bucket").write.partitionBy("_bucket").parquet(folder)
+        # The merge's shuffle is by keys, not by bucket.  A rebalance brings a bucket's rows together
+        # for few files, and splits what is too much for one task.
+        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
         wrote = self.spark.read.schema(rows.schema).parquet(folder).groupBy("_bucket", "_action").agg(F.count(F.lit(1)).alias("n")).collect()
         did, held = dict.fromkeys(("keep", "update", "insert"), 0), {}
         for r in wrote:

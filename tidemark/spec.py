@@ -50,6 +50,8 @@ class TargetSpec:
     monotonic: bool = False
     #: None: repeated keys in a page are an error; "latest": the last in page order counts.
     dedupe: str | None = None
+    #: Parts of the target by a hash of its keys; a merge rewrites those that it touches.
+    buckets: int = 16
 
 
 @dataclass(frozen=True)
