@@ -106,17 +106,23 @@ def mix_copies(
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: rows of ``docs`` as they are, each as often as the mix takes it.
 
-    The texts are dealt once by doc_id to meet their decisions; rows that are the
-    same in (doc_id, source, size) are numbered there to share out their copies.
-    """
+    The texts are dealt once, by a hash of what names a row, to meet their decisions;
+    these grow with the documents, so the join is a sort-merge join at every size.
+    Rows that are the same in (doc_id, source, size) are numbered there, by the same
+    dealing, to share out their copies."""
     names = docs.columns
     spark, at = docs.sparkSession, shared_path(docs.sparkSession, "mix-copies")
-    kept = mix_copies(docs, None, weights, cap, seed).where("copies > 0 and size > 0")
-    kept = kept.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
-    kept = materialised(kept, at)
+    kept = mix_copies(docs, None, weights, cap, seed).where("size > 0")
+    kept = kept.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("of"))
+    kept = materialised(kept.where("copies > 0").withColumn("h", F.xxhash64("doc_id", "source", "size")), at)
     whole = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(*names).alias("row"))
-    same = Window.partitionBy("d.doc_id", "d.source", "d.size")
-    both = whole.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.source <=> k.source and d.size = k.size"))
-    both = both.select("d.row", "k.copies", F.row_number().over(same.orderBy("d.doc_id")).alias("nth"), F.count(F.lit(1)).over(same).alias("of"))
-    own = F.expr("copies div of + int(nth <= copies % of)")
+    whole = whole.withColumn("h", F.xxhash64("doc_id", "source", "size"))
+    # Null-safe comparisons would be join keys of their own, and a second dealing; wrapped they only check.
+    same = F.expr("d.h = k.h and if(d.doc_id <=> k.doc_id and d.source <=> k.source and d.size = k.size, true, false)")
+    both = whole.alias("d").join(kept.alias("k").hint("merge"), same)
+    own = F.col("k.copies")
+    if kept.where("of > 1").limit(1).count():
+        rows = Window.partitionBy("d.h", "d.doc_id", "d.source", "d.size").orderBy("d.doc_id")
+        both = both.select("row", "copies", "of", F.row_number().over(rows).alias("nth"))
+        own = F.expr("copies div of + int(nth <= copies % of)")
     return both.withColumn("own", own).where("own > 0").select("row", F.explode(F.expr("sequence(1, own)"))).select("row.*")

@@ -195,12 +195,14 @@ def fingerprint_hex(fp) -> F.Column:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id.  Where a
-    component has no doc_id at all, one row for each of its different texts stays."""
+    component has no doc_id at all, one row for each of its different texts stays.
+
+    What stays grows with the documents, so the texts meet it in a sort-merge join at every size."""
     names = docs.columns
     kept = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     kept = materialised(kept, shared_path(docs.sparkSession, "simhash-kept"))
     whole = docs.select(F.col("doc_id"), _digest().alias("digest"), F.struct(*names).alias("row"))
-    out = whole.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.digest = k.digest")).select("d.doc_id", "d.digest", "row")
+    out = whole.alias("d").join(kept.alias("k").hint("merge"), F.expr("d.doc_id <=> k.doc_id and d.digest = k.digest")).select("d.doc_id", "d.digest", "row")
     repeated = kept.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1")
     if repeated.limit(1).count():
         out = out.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("digest"))).agg(F.min("row").alias("row"))

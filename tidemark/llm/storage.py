@@ -71,8 +71,10 @@ class CommittedFile:
 
     def commit(self) -> None:
         self.out.close()
-        self.fs.move(self.temporary, self.final)
-
-    def abort(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temporary)
+        try:
+            self.fs.move(self.temporary, self.final)
+        except OSError:
+            # Some file systems keep an earlier attempt's file: it has the same bytes.
+            if self.fs.get_file_info(self.final).size != self.size:
+                raise
+            self.fs.delete_file(self.temporary)
