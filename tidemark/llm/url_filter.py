@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 BUCKETS, SIZES = 1024, (3, 4)
-STEPS, RATE, SHRINK = 150, 4.0, 0.002
+STEPS, RATE, SHRINK = 40, 8.0, 0.002
 MOST_LABELLED = 2_000
 
 #: The labelled URLs: what such hosts are named after, and plain ones.
