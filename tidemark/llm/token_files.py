@@ -34,7 +34,7 @@ MAGIC = b"TMPLANE1"
 BLOCK = 1 << 16
 PLANES = 4
 #: Words a tokenizer remembers in one worker, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 PER_DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -72,10 +72,21 @@ class WordTokenizer:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces: an ASCII word and a comma or full stop after it on their
-        own, in lower case, so that all spellings of a word are encoded once."""
-        parts = {x: self._parts(x) for x in pieces}
-        words = list({y for both in parts.values() for y in both if y not in self.known})
+        """Encode new pieces.  An ASCII word in lower case, and a comma or full stop after
+        it, stand for themselves, so that all spellings of a word are encoded once."""
+        known, words, made_of = self.known, set(), []
+        for x in pieces:
+            if not x.isascii() or "<|" in x:  # names of special tokens are told by case
+                words.add(x)
+                continue
+            word, mark = x.lower(), ""
+            if word[-1:] in (",", ".") and word[:-1].isalpha():
+                word, mark = word[:-1], word[-1]
+                words.add(mark)
+            words.add(word)
+            if mark or word != x:
+                made_of.append((x, word, mark))
+        words = [w for w in words if w not in known]
         if words:
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             starts = np.cumsum(lengths + 1) - lengths - 1
@@ -85,17 +96,10 @@ class WordTokenizer:
             ends = np.searchsorted(owner, np.arange(len(words)), "right").tolist()
             data, at = ids.tobytes(), 0
             for word, end in zip(words, ends):
-                self.known[word] = data[4 * at : 4 * end]
+                known[word] = data[4 * at : 4 * end]
                 at = end
-        for x, both in parts.items():
-            self.known[x] = b"".join([self.known[y] for y in both])
-
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, ...]:
-        if not piece.isascii() or "<|" in piece:  # names of special tokens are told by case
-            return (piece,)
-        low = piece.lower()
-        return (low[:-1], low[-1]) if low[-1:] in (",", ".") and low[:-1].isalpha() else (low,)
+        for x, word, mark in made_of:
+            known[x] = known[word] + known[mark] if mark else known[word]
 
 
 @functools.lru_cache(maxsize=2)
