@@ -177,10 +177,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fp (signed long), component_id, and the text's digest."""
-    spark, at = docs.sparkSession, shared_path(docs.sparkSession, "simhash")
-    rows = materialised(with_fingerprint(docs), f"{at}/rows")
+    rows = materialised(with_fingerprint(docs), f"{shared_path(docs.sparkSession, 'simhash')}/rows")
+    return grouped(rows, links)
+
+
+def grouped(rows: DataFrame, edges) -> DataFrame:
+    """doc_id, fp, component_id and digest of ``rows`` (doc_id, fp, digest); ``edges`` gives the links (u, v) of distinct fingerprints (fp)."""
+    at = shared_path(rows.sparkSession, "simhash")
     fps = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), f"{at}/fps")
-    roots = components(links(fps))
+    roots = components(edges(fps))
     tied = fps.join(roots, F.col("fp") == F.col("node"), "left").where("root is not null or n > 1")
     tied = tied.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -193,13 +198,13 @@ def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id.  Where a
+def one_of_each(docs: DataFrame, groups=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component of ``groups``, that of the smallest doc_id.  Where a
     component has no doc_id at all, one row for each of its different texts stays.
 
     What stays grows with the documents, so the texts meet it in a sort-merge join at every size."""
     names = docs.columns
-    kept = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = groups(docs).where("doc_id <=> component_id").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     kept = materialised(kept, shared_path(docs.sparkSession, "simhash-kept"))
     whole = docs.select(F.col("doc_id"), _digest().alias("digest"), F.struct(*names).alias("row"))
     out = whole.alias("d").join(kept.alias("k").hint("merge"), F.expr("d.doc_id <=> k.doc_id and d.digest = k.digest")).select("d.doc_id", "d.digest", "row")
