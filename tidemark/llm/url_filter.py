@@ -23,31 +23,37 @@ BUCKETS, SIZES = 1024, (3, 4)
 STEPS, RATE, SHRINK = 40, 8.0, 0.002
 MOST_LABELLED = 2_000
 
-#: The labelled URLs: what such hosts are named after, and plain ones.
-BLOCKED = (
-    "https://cheap-pills.example.com/en/1", "http://www.cheap-pills.example.net/de/22", "https://blog.cheap-pills.example.org/fr/31.html",
-    "http://spam-farm.example.net/en/4", "https://m.spam-farm.example.com/es/57", "https://www.spam-farm.example.org/en/6?page=2",
-    "http://casino-win.example.com/en/7", "https://blog.casino-win.example.net/fr/81", "http://m.casino-win.example.org/de/9#top",
-    "https://free-bets.example.net/en/10", "http://www.free-bets.example.com/es/11/", "https://free-bets.example.org/fr/12",
-    "http://adult-x.example.com/en/13", "https://m.adult-x.example.net/de/14", "http://blog.adult-x.example.org/en/15.html",
-    "https://ads-track.example.com/en/16", "http://www.ads-track.example.net/fr/17", "https://m.ads-track.example.org/es/18?utm_source=feed",
-    "http://pills-online.example.net/buy/19", "https://cheap-meds.example.com/buy/20", "http://win-casino.example.net/bets/21",
-    "https://bets-free.example.com/casino/22", "http://track-ads.example.net/pixel/23", "https://spam-mail.example.com/farm/24",
-    "http://xxx-adult.example.net/cams/25", "https://poker-bets.example.com/win/26", "http://click-ads.example.net/track/27",
-    "https://loans-cheap.example.com/apply/28", "http://link-farm.example.net/seo/29", "https://adult-cams.example.com/x/30",
-)
-PLAIN = (
-    "https://news.example.com/en/1", "http://www.library.example.net/de/22", "https://blog.museum.example.org/fr/31.html",
-    "http://thther.example.net/en/4", "https://m.theron.example.com/es/57", "https://www.tionsh.example.org/en/6?page=2",
-    "http://thering.example.com/en/7", "https://blog.ththan.example.net/fr/81", "http://m.therea.example.org/de/9#top",
-    "https://tionble.example.net/en/10", "http://www.therth.example.com/es/11/", "https://ththnd.example.org/fr/12",
-    "http://school.example.com/en/13", "https://m.science.example.net/de/14", "http://blog.weather.example.org/en/15.html",
-    "https://ththst.example.com/en/16", "http://www.ththly.example.net/fr/17", "https://m.theror.example.org/es/18?utm_source=feed",
-    "http://garden.example.net/plants/19", "https://cooking.example.com/soup/20", "http://history.example.net/rome/21",
-    "https://ththwh.example.com/article/22", "http://travel.example.net/alps/23", "https://mail.example.com/help/24",
-    "http://music.example.net/notes/25", "https://chess.example.com/openings/26", "http://maps.example.net/rivers/27",
-    "https://bank.example.com/apply/28", "http://farming.example.net/wheat/29", "https://theatre.example.com/plays/30",
-)
+#: What labelled URLs are made of: words of hosts and of paths, for URLs to block and for plain ones.
+SPAM_WORDS = (
+    "cheap buy discount viagra pharmacy meds tablets casino poker slots betting jackpot lottery bonus loans payday credit porn xxx "
+    "adult cams escort dating replica backlinks seo clicks adserver tracker popunder banner affiliate leads free win prize gamble wager spam"
+).split()
+SPAM_PATHS = "buy order offer deal bonus signup click track pixel go promo win free cams play bet claim xxx seo apply-now".split()
+SPAM_ENDS = "com net info biz top xyz club online".split()
+PLAIN_WORDS = (
+    "news library museum school university science weather garden cooking history travel music chess maps bank farming theatre wiki "
+    "docs code software journal archive health city council government research physics biology books forum blog photo sport football "
+    "radio times daily post press media open data stack exchange hub overflow python linux java developer learn college academy art "
+    "film nature earth ocean river mountain bird animal plant kitchen recipe house home build engineer law court family church society "
+    "trade market energy water rail air hotel insurance doctor hospital clinic kids teacher student language dictionary encyclopedia"
+).split()
+PLAIN_PATHS = "wiki article about docs paper abs news questions blog help story post section topics guide people events research en de".split()
+PLAIN_ENDS = "com org net edu gov info de fr es co.uk io".split()
+
+
+def _made(words: list[str], paths: list[str], ends: list[str], n: int) -> tuple[str, ...]:
+    """``n`` URLs: hosts of one word, and of two with and without a hyphen, by turns."""
+    out = []
+    for k in range(n):
+        one, two = words[k % len(words)], words[(k * 7 + k // len(words) * 3 + 1) % len(words)]
+        host = (one, f"{one}-{two}", one + two)[k % 3] if one != two else one
+        host = ("", "www.", "", "m.", "blog.")[k % 5] + f"{host}.{ends[k * 3 % len(ends)]}"
+        tail = ("", ".html", "/", "?page=2", "#top")[k // 2 % 5]
+        out.append(f"{('https', 'http')[k // 3 % 2]}://{host}/{paths[(k * 5 + 2) % len(paths)]}/{k % 97 + 1}{tail}")
+    return tuple(out)
+
+
+BLOCKED, PLAIN = _made(SPAM_WORDS, SPAM_PATHS, SPAM_ENDS, 90), _made(PLAIN_WORDS, PLAIN_PATHS, PLAIN_ENDS, 110)
 
 
 def _after_scheme(url: Column) -> Column:
@@ -92,8 +98,8 @@ def _scale(found: Column) -> Column:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(u).alias("url"), F.lit(k).alias("label")) for k, us in ((1, BLOCKED), (0, PLAIN)) for u in us]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    both = [spark.range(1).select(F.explode(F.split(F.lit(" ".join(us)), " ")).alias("url"), F.lit(k).alias("label")) for k, us in ((1, BLOCKED), (0, PLAIN))]
+    return both[0].unionByName(both[1])
 
 
 def trained(table: DataFrame, buckets: int = BUCKETS, steps: int = STEPS) -> DataFrame:
