@@ -189,10 +189,10 @@ def sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return rows.select("lang", "text", F.lit(False).alias("calibrates"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # Each row is drawn where it is; only the sample moves.
     rows = rows.where(draw * F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] < per_language)
-    return rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit("c"), "doc_id"), F.lit(CALIBRATE)) == 0).alias("calibrates"))
+    return rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit("c"), "doc_id", "text"), F.lit(CALIBRATE)) == 0).alias("calibrates"))
 
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
