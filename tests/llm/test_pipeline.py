@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_hits
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import brute_hits
 from tidemark.llm import mixing, quality
 from tidemark.llm.storage import materialised, shared_path
 
@@ -39,8 +40,10 @@ def test_quality_stage(spark, sf, stages):
 
 def test_duplicate_stage(stages):
     before, after = stages[1]
-    want = brute_components({r.doc_id: brute_fingerprint(r.text) for r in before.collect()})
-    assert sorted(r.doc_id for r in after.collect()) == sorted(set(want.values()))
+    rows = {r.doc_id: r for r in before.collect()}
+    want = brute_kept([(r.doc_id, r.text) for r in rows.values()])
+    got = after.collect()
+    assert sorted(r.doc_id for r in got) == want and all(r == rows[r.doc_id] for r in got)
 
 
 def test_benchmark_stage(spark, sf, stages):
