@@ -20,13 +20,13 @@ ORDERS = sp.TargetSpec("orders", "SELECT ORDER_ID, UPDATED_AT, AMOUNT FROM ORDER
 
 @pytest.mark.parametrize("last, lookback, first, want", [
     (None, None, True, "1970-01-01 00:00:00.000000"),
-    (None, 60, True, "1970-01-01 00:00:00.000000"),
-    ("2026-04-17 10:00:00", None, True, "2026-04-17 10:00:00.000000"),
-    ("2026-04-17 10:00:00", 60, True, "2026-04-17 09:00:00.000000"),
-    ("2026-04-17 00:02:00", 5, True, "2026-04-16 23:57:00.000000"),
-    ("2026-04-17 10:00:00", 60, False, "2026-04-17 10:00:00.000000"),
-    ("2026-04-17 10:30:45.123456", 30, True, "2026-04-17 10:00:45.000000"),
-    ("2026-04-17 10:00:00", 0, True, "2026-04-17 10:00:00.000000"),
+    (None, 15, True, "1970-01-01 00:00:00.000000"),
+    ("2025-11-03 18:20:07", None, True, "2025-11-03 18:20:07.000000"),
+    ("2025-11-03 18:20:07", 95, True, "2025-11-03 16:45:07.000000"),
+    ("2024-03-01 00:10:00", 20, True, "2024-02-29 23:50:00.000000"),
+    ("2025-11-03 18:20:07", 95, False, "2025-11-03 18:20:07.000000"),
+    ("2025-11-03 18:20:07.987654", 1, True, "2025-11-03 18:19:07.000000"),
+    ("2025-11-03 18:20:07", 0, True, "2025-11-03 18:20:07.000000"),
 ])
 def test_effective_watermark(last, lookback, first, want):
     spec = dataclasses.replace(ORDERS, lookbackMinutes=lookback)
@@ -41,10 +41,10 @@ def test_timestamp_text_is_strict(text):
 
 
 def test_number_watermarks():
-    assert watermark.render(watermark.parse("12345678901234", sp.NUMBER)) == "12345678901234"
+    assert watermark.render(watermark.parse("90071992547409931", sp.NUMBER)) == "90071992547409931"
     assert watermark.render(Decimal("1.50")) == "1.5"
     with pytest.raises(ValueError):
-        watermark.parse("not-a-number", sp.NUMBER)
+        watermark.parse("7,5", sp.NUMBER)
 
 
 @given(some.datetimes(min_value=datetime(1900, 1, 1), max_value=datetime(2100, 1, 1)))
@@ -84,7 +84,13 @@ def test_column_lists():
     assert sqltext.insert_columns("INSERT /*+ APPEND */ INTO S (A, B) VALUES (?, ?)") == ["A", "B"]
     assert sqltext.insert_columns("DELETE FROM s") is None
     assert sqltext.select_columns("select t.a, b\nfrom t") == ["a", "b"]
-    assert sqltext.without_hints("INSERT /*+ APPEND_VALUES */ INTO t") == "INSERT INTO t"
+
+
+def test_statements_keep_the_semicolon_of_a_block():
+    assert sqltext.statement(" SELECT 1 ; \n") == "SELECT 1" and sqltext.statement("SELECT 1") == "SELECT 1"
+    assert sqltext.statement("-- first\n/* DECLARE; */ begin x; END;\n").endswith("END;")
+    assert sqltext.statement("/* BEGIN */ CREATE VIEW v AS SELECT 1;").endswith("SELECT 1")
+    assert sqltext.first_word("--a") == "" and sqltext.first_word("Declare x") == "DECLARE"
 
 
 @pytest.mark.parametrize("changes, about", [

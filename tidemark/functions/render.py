@@ -20,7 +20,11 @@ def rows_shown(current: Column, current_rows: Column, success_rows: Column) -> C
 
 
 def iso_utc(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """An instant in UTC.  It goes through its microseconds, so the session's zone plays no part."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_micros(at).cast("decimal(20,0)") / 1_000_000)
+    text = F.rpad(utc.cast("string"), 23, "0")
+    whole = F.concat(F.substring(utc.cast("string"), 1, 19), F.lit(".000"))
+    return F.concat(F.replace(F.when(F.length(utc.cast("string")) == 19, whole).otherwise(text), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def duration(ms: Column) -> Column:

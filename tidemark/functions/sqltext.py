@@ -28,10 +28,13 @@ def insert_columns(insert: str) -> list[str] | None:
     return [x.strip() for x in found[1].split(",")] if found else None
 
 
-def without_hints(sql: str) -> str:
-    return re.sub(r"/\*\+.*?\*/\s*", "", sql, flags=re.S)
+def first_word(text: str) -> str:
+    """The first word of a statement, in capitals; comments before it do not count."""
+    found = re.match(r"(?s)(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*(\w*)", text)
+    return found[1].upper()
 
 
 def statement(text: str) -> str:
-    """A migration's text without the semicolon at its end."""
-    return text.strip().removesuffix(";").rstrip()
+    """A migration's text without the semicolon at its end, which only a block of statements keeps."""
+    text = text.strip()
+    return text if first_word(text) in ("BEGIN", "DECLARE") else text.removesuffix(";").rstrip()

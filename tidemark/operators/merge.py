@@ -1,56 +1,82 @@
-"""Merging a staged page into a target as one join."""
+"""Merging a staged page into a target as one join.
+
+Both sides travel as one struct each, ``tgt`` and ``src``, so clauses name their
+columns as SQL does and no column of a table can clash with a name of the merge's own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.spec import UPSERT, Clause
 
+REPEATED = "null or repeated keys in the source"
+
 
 class MergeCardinalityError(ValueError):
     """A key is null or occurs more than once in what is merged."""
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever dots it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _any_null(keys: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [quoted(k).isNull() for k in keys])
+
+
 def check_keys(source: DataFrame, keys: Sequence[str]) -> None:
-    """Reject null and repeated keys; one aggregate, combined before its shuffle."""
-    null = F.lit(False)
-    for k in keys:
-        null = null | F.col(k).isNull()
-    bad = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | null).limit(3).collect()
+    """Reject null and repeated keys at once; one aggregate, combined before its shuffle.
+    A merge tests the same as it runs; this is for callers that want to know before."""
+    n, null = F.count(F.lit(1)), _any_null(keys)
+    bad = source.groupBy(*map(quoted, keys)).agg(n.alias("_n")).where((F.col("_n") > 1) | null).limit(3).collect()
     if bad:
-        raise MergeCardinalityError(f"null or repeated keys in the source: {[r.asDict() for r in bad]}")
+        raise MergeCardinalityError(f"{REPEATED}: {[r.asDict() for r in bad]}")
+
+
+def _one_each(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(src, k0, k1, ...): a source's rows and their keys.  A key that is null or there twice
+    fails the job.  The numbering has the dealing and order of the merge's join, which needs no other."""
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = source.select(F.struct(*map(quoted, source.columns)).alias("row"), *[quoted(k).alias(n) for k, n in zip(keys, names)])
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy(*names)))
+    told = F.concat(F.lit(REPEATED + ": "), F.to_json(F.struct(*[F.col(n).alias(k) for k, n in zip(keys, names)])))
+    bad = (F.col("n") > 1) | _any_null(names)
+    return rows.select(F.when(bad, F.raise_error(told)).otherwise(F.col("row")).alias("src"), *names)
 
 
 def merged(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT) -> DataFrame:
-    """The target's columns after the merge, and ``_action``: keep, update, insert or delete.
+    """(tgt, action): the target's rows after the merge as structs, and what was done:
+    keep, update, insert or delete.
 
     One full outer join on the keys.  The first clause that applies to a row acts on
     it; rows to delete are still there, for counting."""
-    names = target.columns
-    tgt = target.withColumn("_t", F.lit(True)).alias("tgt")
-    src = source.withColumn("_s", F.lit(True)).alias("src")
-    on = [F.col(f"tgt.{k}") == F.col(f"src.{k}") for k in keys]
-    both = tgt.join(src, on, "full_outer")
-    in_t, in_s = F.col("tgt._t").isNotNull(), F.col("src._s").isNotNull()
-    action = F.when(in_t & ~in_s, "keep")
+    tgt = target.select(F.struct(*map(quoted, target.columns)).alias("tgt"), *[quoted(k).alias(f"t{i}") for i, k in enumerate(keys)])
+    src = _one_each(source, keys)
+    both = tgt.join(src, [F.col(f"t{i}") == F.col(f"k{i}") for i in range(len(keys))], "full_outer")
+    in_t, in_s = F.col("tgt").isNotNull(), F.col("src").isNotNull()
     which = F.lit(-1)
     for k, c in reversed(list(enumerate(clauses))):
         which = F.when(_applies(c, in_t, in_s), F.lit(k)).otherwise(which)
+    both = both.select("tgt", "src", which.alias("which"))
+    action = F.lit(None).cast("string")
     for k, c in enumerate(clauses):
-        action = action.when(F.col("_which") == k, c.do)
-    action = action.when(in_t, "keep")
+        action = F.when(F.col("which") == k, c.do).otherwise(action)
+    action = F.coalesce(action, F.when(in_t, "keep"))
     columns = []
-    for name in names:
-        value = F.when(F.lit(False), F.col(f"tgt.{name}"))
+    for field in target.schema:
+        kept = F.col("tgt").getField(field.name)
+        value = kept
         for k, c in enumerate(clauses):
-            if c.do == "delete":
-                continue
-            value = value.when(F.col("_which") == k, _value(c, name, source.columns, keys))
-        columns.append(value.otherwise(F.col(f"tgt.{name}")).cast(target.schema[name].dataType).alias(name))
-    return both.withColumn("_which", which).select(*columns, action.alias("_action")).where("_action is not null")
+            if c.do != "delete":
+                value = F.when(F.col("which") == k, _value(c, field.name, kept, source.columns)).otherwise(value)
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return both.select(F.struct(*columns).alias("tgt"), action.alias("action")).where("action is not null")
 
 
 def _applies(c: Clause, in_t: Column, in_s: Column) -> Column:
@@ -58,20 +84,20 @@ def _applies(c: Clause, in_t: Column, in_s: Column) -> Column:
     return F.coalesce(side & F.expr(c.condition), F.lit(False)) if c.condition else side
 
 
-def _value(c: Clause, name: str, source: list[str], keys: Sequence[str]) -> Column:
+def _value(c: Clause, name: str, kept: Column, source: list[str]) -> Column:
     if c.columns is not None:
         if name in c.columns:
             return F.expr(c.columns[name])
-        return F.col(f"tgt.{name}") if c.do == "update" else F.lit(None)
-    return F.col(f"src.{name}") if name in source else F.col(f"tgt.{name}")
+        return kept if c.do == "update" else F.lit(None)
+    return F.col("src").getField(name) if name in source else kept
 
 
 def apply_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT) -> DataFrame:
-    """The target after the merge."""
-    return merged(target, source, keys, clauses).where("_action != 'delete'").drop("_action")
+    """The target after the merge.  Null and repeated keys of the source fail the job that runs it."""
+    return merged(target, source, keys, clauses).where("action != 'delete'").select("tgt.*")
 
 
 def affected(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT) -> DataFrame:
     """(action, n) of the rows that a merge changes."""
-    rows = merged(target, source, keys, clauses).where("_action != 'keep'")
-    return rows.groupBy(F.col("_action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    rows = merged(target, source, keys, clauses).where("action != 'keep'")
+    return rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"))

@@ -1,50 +1,77 @@
-"""Pages in watermark and key order: one after the other, or all at once."""
+"""Pages in watermark and key order: one after the other, or all at once.
+
+A load's rows are dealt by ranges of the page order and written once; page numbers
+follow from the ranges' counts, so no task holds more than a range, the source is
+read once for all pages, and a page is a folder of what was written.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import seek
-from tidemark.operators.staging import positional, statistics
+from tidemark.operators.staging import positional, statistics, typed
 from tidemark.sources import catalog, files
 from tidemark.spec import TargetSpec
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """A helper's name that no column has."""
+    while name in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
+def _numbered(rows: DataFrame, order: list[Column], at: str) -> tuple[DataFrame, str]:
+    """(``rows`` with their place in ``order``, from 1; that column's name).  Ranges are written
+    below ``at``, so that a task that runs again sees the same ones."""
+    spark, part, place = rows.sparkSession, _free("_part", rows.columns), _free("_place", rows.columns)
+    ranged = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(at)
+    ranged = spark.read.schema(ranged.schema).parquet(at)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    heads = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(place))
+    within = Window.partitionBy(part).orderBy(*order)
+    # One row for each range: small by the number of shuffle partitions.
+    return ranged.join(F.broadcast(heads), part).withColumn(place, F.col(place) + F.row_number().over(within)).drop(part), place
+
+
 def pages(spark: SparkSession, spec: TargetSpec, wm: object, keys: tuple | None, staging: str) -> Iterator[tuple[DataFrame, dict]]:
-    """(staged page, its statistics) until a page is not full.  A page replaces the
-    staging folder; a full last page is followed by one empty fetch."""
-    while True:
-        # The seek compares source columns; staging may name them otherwise, in the same order.
-        fetched = catalog.page(spark, spec, wm, keys)
-        names = fetched.columns
-        positional(fetched, spec.insertColumns).write.mode("overwrite").parquet(staging)
-        staged = spark.read.parquet(staging)
-        found = statistics(staged.toDF(*names), spec)
-        yield staged, found
-        if not spec.pageSize or found["rows"] < spec.pageSize:
+    """(staged page, its statistics) until a page is not full; a full last page is followed by
+    one empty fetch.  ``staging`` holds what this load has written; the next one replaces it."""
+    # The seek compares source columns; staging may name and type them otherwise, in the same order.
+    rows = catalog.rows_after(spark, spec, wm, keys)
+    if not spec.pageSize:
+        typed(positional(rows, spec.insertColumns), spec).write.mode("overwrite").parquet(f"{staging}/page")
+        staged = spark.read.parquet(f"{staging}/page")
+        yield staged, statistics(staged.toDF(*rows.columns), spec)
+        return
+    files.delete(spark, staging)
+    numbered, place = _numbered(rows, seek.order(spec), f"{staging}/ranges")
+    page = _free("_page", rows.columns)
+    numbered = numbered.withColumn(page, F.ceil(F.col(place) / F.lit(spec.pageSize)).cast("long")).drop(place)
+    numbered.write.partitionBy(page).parquet(f"{staging}/pages")
+    files.delete(spark, f"{staging}/ranges")
+    last = F.max(F.struct(spec.watermarkColumn, *spec.keyColumns)).alias("last")
+    written = spark.read.schema(numbered.schema).parquet(f"{staging}/pages")
+    # One row for each page, which the loop has to go through anyway.
+    for found in written.groupBy(page).agg(F.count(F.lit(1)).alias("rows"), last).orderBy(page).collect():
+        one = spark.read.schema(rows.schema).parquet(f"{staging}/pages/{page}={found[page]}")
+        told = {"rows": found["rows"], "wm": found["last"][spec.watermarkColumn], "keys": tuple(found["last"][k] for k in spec.keyColumns)}
+        yield typed(positional(one, spec.insertColumns), spec), told
+        if told["rows"] < spec.pageSize:
             return
-        wm, keys = found["wm"], found["keys"]
+    yield typed(positional(spark.createDataFrame([], rows.schema), spec.insertColumns), spec), {"rows": 0, "wm": None, "keys": None}
 
 
 def page_trace(rows: DataFrame, spec: TargetSpec) -> DataFrame:
     """What the page loop over ``rows`` does, in one pass: per page its number, rows,
-    running rows, last watermark and last keys.
-
-    Ranges in page order are written once and numbered from their counts, so no task
-    holds more than one range, whatever the number of pages, and a task that runs
-    again sees the same ranges."""
-    spark, order = rows.sparkSession, seek.order(spec)
-    ranged = rows.select(spec.watermarkColumn, *spec.keyColumns).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(at := files.fresh(spark, "ranges"))
-    ranged = spark.read.schema(ranged.schema).parquet(at)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("_part").orderBy(*order)
-    place = F.col("_ahead") + F.row_number().over(within)
-    numbered = ranged.join(heads.drop("n"), "_part").withColumn("page", F.ceil(place / F.lit(spec.pageSize)).cast("long"))
+    running rows, last watermark and last keys."""
+    numbered, place = _numbered(rows.select(spec.watermarkColumn, *spec.keyColumns), seek.order(spec), files.fresh(rows.sparkSession, "ranges"))
+    numbered = numbered.withColumn("page", F.ceil(F.col(place) / F.lit(spec.pageSize)).cast("long"))
     last = F.max(F.struct(spec.watermarkColumn, *spec.keyColumns)).alias("last")
     found = numbered.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), last)
     so_far = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)

@@ -40,6 +40,15 @@ def coerced(text: Column, to: str, formats: dict[str, str]) -> Column:
     return text.cast(to)
 
 
+def typed(staged: DataFrame, spec: TargetSpec) -> DataFrame:
+    """A staged page with the columns of ``spec.types`` read by the target's formats."""
+    if unknown := sorted(set(spec.types) - set(staged.columns)):
+        raise ValueError(f"types of columns that are not staged: {', '.join(unknown)}")
+    kinds = dict(staged.dtypes)
+    made = {c: coerced(F.col(c), to, spec.formats) if kinds[c] == "string" else F.col(c).cast(to) for c, to in spec.types.items()}
+    return staged.withColumns(made) if made else staged
+
+
 def statistics(staged: DataFrame, spec: TargetSpec) -> dict:
     """rows, the largest watermark, and the last row's keys, in one aggregate."""
     last = F.max(F.struct(spec.watermarkColumn, *spec.keyColumns)).alias("last")

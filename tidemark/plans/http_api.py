@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import logging
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from tidemark.plans import metrics
 from tidemark.plans.runner import QueueFull, RunManager
-from tidemark.sources import introspect
+from tidemark.sources import catalog, introspect
 
-EVENT = "event string, target string, status string, rows long, merged long"
+log = logging.getLogger("tidemark")
 
 
 def answer(manager: RunManager, method: str, path: str) -> tuple[int, object]:
@@ -25,19 +25,16 @@ def answer(manager: RunManager, method: str, path: str) -> tuple[int, object]:
         case ["live"]:
             return 200, {"status": "ok", "db": "n/a"}
         case ["ready"] | ["health"]:
-            try:
-                manager.engine.spark.sql("SELECT 1").first()
-            except Exception as e:
-                return 503, {"status": "degraded", "db": "down", "error": str(e).splitlines()[0]}
+            wrong = _wrong(manager, sources=parts == ["ready"])
+            if wrong:
+                return 503, {"status": "degraded", "db": "down" if "session" in wrong or "storage" in wrong else "ok", "error": "; ".join(f"{k}: {v}" for k, v in wrong.items())}
             return 200, {"status": "ready" if parts == ["ready"] else "ok", "db": "ok"}
         case ["status"]:
             return 200, {"targets": manager.status()}
         case ["config"]:
             return 200, {"targets": [{"name": s.name, "group": s.group} for s in specs.values()]}
         case ["metrics"]:
-            spark = manager.engine.spark
-            rows = [(e["event"], e["target"], e.get("status"), e.get("rows", 0), e.get("merged", 0)) for e in manager.engine.events]
-            return 200, metrics.exposition(metrics.counters(spark.createDataFrame(rows, EVENT))) + f"etl_runner_rejections_total {manager.rejected}\n"
+            return 200, manager.exposition()
         case ["api", "targets"]:
             return 200, {"targets": [dataclasses.asdict(s) for s in specs.values()]}
         case ["api", "targets", name] if name in specs:
@@ -47,6 +44,20 @@ def answer(manager: RunManager, method: str, path: str) -> tuple[int, object]:
     return 404, {"error": f"no {path}"}
 
 
+def _wrong(manager: RunManager, sources: bool) -> dict[str, str]:
+    """What does not work, by name: the session, the targets' storage, and the sources."""
+    checks = {"session": lambda: manager.engine.spark.sql("SELECT 1").first(), "storage": lambda: [manager.engine.state(s) for s in manager.pipeline.targets[:1]]}
+    if sources:
+        checks |= {f"source of {s.name}": lambda s=s: catalog.source(manager.engine.spark, s).schema for s in manager.pipeline.targets}
+    wrong = {}
+    for name, check in checks.items():
+        try:
+            check()
+        except Exception as e:
+            wrong[name] = str(e).splitlines()[0]
+    return wrong
+
+
 def _run(manager: RunManager, parts: list[str]) -> tuple[int, object]:
     try:
         match parts:
@@ -68,9 +79,12 @@ def _run(manager: RunManager, parts: list[str]) -> tuple[int, object]:
 
 
 def _ddl(manager: RunManager, spec) -> dict:
-    table = manager.engine.table(spec)
-    there = bool(table.manifest()["schema"])
-    text = introspect.ddl(spec.targetTable, table.read().schema, spec.keyColumns) if there else "-- not loaded yet"
+    try:
+        table = manager.engine.table(spec)
+        there = bool(table.manifest()["schema"])
+        text = introspect.ddl(spec.targetTable, table.read().schema, spec.keyColumns) if there else "-- not loaded yet"
+    except Exception as e:
+        there, text = False, f"-- not readable: {str(e).splitlines()[0]}"
     return {"targetDdl": text, "targetTableExists": there}
 
 
@@ -79,7 +93,11 @@ def server(manager: RunManager, port: int = 8080) -> ThreadingHTTPServer:
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:
-            code, body = answer(manager, self.command, self.path)
+            try:
+                code, body = answer(manager, self.command, self.path)
+            except Exception as e:
+                log.exception("%s %s", self.command, self.path)
+                code, body = 500, {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
             data = body.encode() if isinstance(body, str) else json.dumps(body, default=str).encode()
             self.send_response(code)
             self.send_header("Content-Type", "text/plain; version=0.0.4" if isinstance(body, str) else "application/json")

@@ -1,7 +1,12 @@
-"""Counters and histograms, as aggregates over the log of runs and pages."""
+"""Counters and histograms: as aggregates over a log of runs and pages, and as the running
+totals of one engine, which scrapers read."""
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter, defaultdict
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +24,61 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def histogram(samples: DataFrame, value: str, by: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
-    """Cumulative buckets: (by, le, n), the last ``+Inf``.  One row per sample and no
-    bucket is shuffled: all buckets are sums of one aggregate."""
+    """Cumulative buckets: (by, le, n, total), the last ``+Inf``; ``total`` is the sum of all values
+    of ``by``.  One row per sample and no bucket is shuffled: all buckets are sums of one aggregate."""
     counts = [F.count(F.when(F.col(value) <= b, 1)).alias(f"b{k}") for k, b in enumerate(bounds)]
-    wide = samples.groupBy(by).agg(*counts, F.count(F.lit(1)).alias("all"))
+    wide = samples.groupBy(by).agg(*counts, F.count(F.lit(1)).alias("all"), F.sum(value).alias("total"))
     pairs = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)]
-    return wide.select(by, F.inline(F.array(*pairs, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))))
+    return wide.select(by, F.inline(F.array(*pairs, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))), "total")
+
+
+#: Timers: series, event and field that they measure, further labels.
+TIMERS = (("etl_page_duration_seconds", "page", "page_seconds", ()), ("etl_merge_duration_seconds", "page", "merge_seconds", ()), ("etl_run_duration_seconds", "run", "seconds", ("status",)))
+
+
+class Totals:
+    """What one engine's events add up to since it began; its size follows the targets, not the events."""
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+        self.times: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * (len(BOUNDS) + 2))
+
+    def add(self, event: dict) -> None:
+        kind, target = event["event"], event["target"]
+        if kind == "run":
+            self.counts["etl_runs_total", target, event["status"]] += 1
+        elif kind == "retry":
+            self.counts["etl_source_auth_retries_total", target, None] += 1
+        elif kind == "page":
+            for series, n in (("etl_rows_loaded_total", event["rows"]), ("etl_rows_merged_total", event["merged"])):
+                if n > 0:
+                    self.counts[series, target, None] += n
+        for series, of, value, labels in TIMERS:
+            if kind == of and value in event:
+                held = self.times[(series, target, *(event[x] for x in labels))]
+                held[bisect.bisect_left(BOUNDS, event[value])] += 1
+                held[-1] += event[value]
+
+    def lines(self) -> list[str]:
+        out = [_line(*key, value) for key, value in sorted(self.counts.items(), key=str)]
+        for (series, target, *status), held in sorted(self.times.items()):
+            label, n = f'target="{target}"' + "".join(f',status="{x}"' for x in status), 0
+            for bound, own in zip((*map(str, BOUNDS), "+Inf"), held):
+                n += int(own)
+                out.append(f'{series}_bucket{{{label},le="{bound}"}} {n}')
+            out += [f"{series}_sum{{{label}}} {held[-1]}", f"{series}_count{{{label}}} {n}"]
+        return out
+
+
+def gauges(pools: dict[str, tuple[Callable[[], int], Callable[[], int]]]) -> list[str]:
+    """Threads at work and calls that wait, of each pool, as they are now."""
+    return [f'etl_pool_{what}{{pool="{name}"}} {ask()}' for name, asked in sorted(pools.items()) for what, ask in zip(("active", "queue"), asked)]
+
+
+def _line(series: str, target: str, status: str | None, value: int) -> str:
+    return f'{series}{{target="{target}"' + (f',status="{status}"' if status else "") + f"}} {value}"
 
 
 def exposition(rows: DataFrame) -> str:
     """Counters in the text format that scrapers read; one line per series and label."""
-    out = []
-    for r in rows.orderBy("series", "target", "status").toLocalIterator():
-        labels = f'target="{r.target}"' + (f',status="{r.status}"' if r.status else "")
-        out.append(f"{r.series}{{{labels}}} {r.value}")
-    return "\n".join(out) + "\n"
+    return "".join(_line(*r) + "\n" for r in rows.orderBy("series", "target", "status").toLocalIterator())

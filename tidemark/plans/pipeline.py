@@ -4,38 +4,52 @@ from __future__ import annotations
 
 import logging
 import threading
+import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor, wait
+from concurrent.futures import wait
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark import InheritableThread  # noqa: F401  (public name for callers' own threads)
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.render import AUTH_WORDS
 from tidemark.functions.watermark import effective
-from tidemark.operators.merge import check_keys
 from tidemark.operators.paging import pages
 from tidemark.operators.staging import latest_per_key
+from tidemark.plans.metrics import Totals
+from tidemark.plans.pools import BoundedPool
 from tidemark.sources import state as st
 from tidemark.sources.snapshot import SnapshotTable
 from tidemark.spec import TargetSpec
 
-ATTEMPTS, WORKERS = 3, 8
+ATTEMPTS, WORKERS, QUEUE, PAGE_S = 3, 8, 32, 600.0
+#: Events that an engine can still show; totals hold what came before.
+EVENTS = 10_000
 log = logging.getLogger("tidemark")
 
 
-def is_auth_error(error: BaseException | None, kinds: tuple[type, ...] = ()) -> bool:
-    """A given kind anywhere on the chain of causes, or a telling word in its messages."""
+def texts_of(error: BaseException | None) -> list[str]:
+    """Messages along the chain of causes, a Spark error's own causes among them."""
     texts, seen = [], set()
     while error is not None and id(error) not in seen:
         seen.add(id(error))
-        if isinstance(error, kinds):
+        texts.append(str(error) or type(error).__name__)
+        error = error.__cause__ or getattr(error, "cause", None) or error.__context__
+    return texts
+
+
+def is_auth_error(error: BaseException | None, kinds: tuple[type, ...] = ()) -> bool:
+    """A given kind anywhere on the chain of causes, or a telling word in its messages."""
+    at, seen = error, set()
+    while at is not None and id(at) not in seen:
+        seen.add(id(at))
+        if isinstance(at, kinds):
             return True
-        texts.append(str(error))
-        error = error.__cause__ or error.__context__
-    low = " ".join(texts).lower()
+        at = at.__cause__ or getattr(at, "cause", None) or at.__context__
+    low = " ".join(texts_of(error)).lower()
     return any(w in low for w in AUTH_WORDS)
 
 
@@ -58,9 +72,17 @@ class Engine:
     clock: Callable[[], datetime] = st.now
     classify: Callable[[BaseException], bool] = is_auth_error
     workers: int = WORKERS
-    events: list[dict] = field(default_factory=list)
+    queue: int = QUEUE
+    #: Seconds after which the jobs of a page's fetch are cancelled.
+    page_s: float = PAGE_S
+    events: deque[dict] = field(default_factory=lambda: deque(maxlen=EVENTS))
+    totals: Totals = field(default_factory=Totals)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
+    def __post_init__(self):
+        #: Targets of a group that run together; what does not fit the queue runs in the caller.
+        self.pool = BoundedPool(self.workers, self.queue)
+
     def table(self, spec: TargetSpec) -> SnapshotTable:
         return SnapshotTable(self.spark, f"{self.warehouse}/{spec.name}", spec.buckets)
 
@@ -76,9 +98,11 @@ class Engine:
         return table.publish(manifest, state=change(manifest["state"]))["state"]
 
     def _tell(self, spec: TargetSpec, run_id: str, event: str, **values) -> None:
+        told = {"target": spec.name, "run_id": run_id, "event": event, **values}
         with self._lock:
-            self.events.append({"target": spec.name, "run_id": run_id, "event": event, **values})
-        log.info("%s %s %s %s", spec.name, run_id, event, values)
+            self.events.append(told)
+            self.totals.add(told)
+        log.info("%s %s", event, spec.name, extra={"target": spec.name, "runId": run_id, "group": spec.group, "page": values.get("page"), "told": values})
 
     def run_target(self, spec: TargetSpec, run_id: str | None = None, stop_after: int | None = None) -> bool:
         """One run; True if it finished.  Failures are recorded, not raised, unless they
@@ -96,11 +120,15 @@ class Engine:
             ended = self.clock()
             ms = int((ended - began).total_seconds() * 1000)
             self._store(spec, lambda s: st.finish(s, rows, ms, ended))
+            self.table(spec).vacuum()
             self._tell(spec, run_id, "run", status="ok", seconds=ms / 1000, rows=rows)
             return True
         except Exception as error:
-            ended, text = self.clock(), str(error) or type(error).__name__
-            self._store(spec, lambda s: st.fail(s, spec, text, ended))
+            ended, text = self.clock(), "\n".join(texts_of(error))
+            try:
+                self._store(spec, lambda s: st.fail(s, spec, text, ended))
+            except Exception:
+                log.exception("the failure of %s could not be recorded: %s", spec.name, text)
             self._tell(spec, run_id, "run", status="failed", seconds=(ended - began).total_seconds(), rows=0)
             return False
         finally:
@@ -109,51 +137,74 @@ class Engine:
     def _pages(self, spec: TargetSpec, run_id: str, wm, keys, stored, stop_after: int | None) -> int:
         table, rows, n = self.table(spec), 0, 0
         staging = f"{self.warehouse}/_staging/{spec.name}"
+        began = time.monotonic()
         for staged, found in self._fetched(spec, run_id, wm, keys, staging):
             if not found["rows"]:
                 break
-            rows, n = rows + found["rows"], n + 1
+            rows, n, fetched = rows + found["rows"], n + 1, time.monotonic()
             mark = max(found["wm"], stored) if spec.monotonic and stored is not None else found["wm"]
-            page = staged
-            if spec.dedupe == "latest":
-                page = latest_per_key(staged, spec.keyColumns, (spec.watermarkColumn,))
-            else:
-                check_keys(page, spec.keyColumns)
+            # The merge itself fails for null and repeated keys.
+            page = latest_per_key(staged, spec.keyColumns, (spec.watermarkColumn,)) if spec.dedupe == "latest" else staged
             after = st.progress(table.manifest()["state"], spec, mark, rows, found["keys"] if spec.resume == "tuple" else None)
-            did = table.merge(page, spec.keyColumns, spec.merge, state=after)
-            self._tell(spec, run_id, "page", page=n, rows=found["rows"], merged=did["update"] + did["insert"] + did["delete"])
+            did = table.merge(page, spec.keyColumns, spec.merge, state=after, page_rows=found["rows"])
+            merged, ended = did["update"] + did["insert"] + did["delete"], time.monotonic()
+            self._tell(spec, run_id, "page", page=n, rows=found["rows"], merged=merged, page_seconds=fetched - began, merge_seconds=ended - fetched)
+            began = ended
             if stop_after is not None and n >= stop_after:
                 raise RuntimeError(f"stopped after page {n}")
         return rows
 
     def _fetched(self, spec: TargetSpec, run_id: str, wm, keys, staging: str):
-        """Pages, each tried again while its failure looks like one of authentication."""
+        """Pages; a failure that looks like one of authentication is tried again from the last page's end."""
+        loop, failed = None, 0
         while True:
-            got = None
-            for attempt in range(1, ATTEMPTS + 1):
-                try:
-                    got = next(pages(self.spark, spec, wm, keys, staging))
-                    break
-                except Exception as error:
-                    if attempt == ATTEMPTS or not self.classify(error):
-                        raise
-                    self._tell(spec, run_id, "retry", attempt=attempt)
-            yield got
-            if not spec.pageSize or got[1]["rows"] < spec.pageSize:
+            try:
+                with self._limited(spec):
+                    loop = loop or pages(self.spark, spec, wm, keys, staging)
+                    got = next(loop, None)
+            except Exception as error:
+                failed += 1
+                if failed == ATTEMPTS or not self.classify(error):
+                    raise
+                self._tell(spec, run_id, "retry", attempt=failed)
+                loop = None
+                continue
+            if got is None:
                 return
-            wm, keys = got[1]["wm"], got[1]["keys"]
+            yield got
+            failed = 0
+            if got[1]["rows"]:
+                wm, keys = got[1]["wm"], got[1]["keys"]
+
+    @contextmanager
+    def _limited(self, spec: TargetSpec):
+        """Jobs in here are cancelled after ``page_s``, whatever their source."""
+        context, group = self.spark.sparkContext, f"{spec.name}-{uuid.uuid4().hex}"
+        context.setJobGroup(group, f"page of {spec.name}", True)
+        timer = threading.Timer(self.page_s, context.cancelJobGroup, [group])
+        timer.daemon = True
+        timer.start()
+        try:
+            yield
+        finally:
+            timer.cancel()
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(name, None)
 
     def run_targets(self, specs: Iterable[TargetSpec], run_id: str | None = None) -> dict[str, bool]:
         """Groups one after the other, the targets of a group together.  A failed target
         does not hold up the next group."""
         run_id, done = run_id or str(uuid.uuid4()), {}
-        with ThreadPoolExecutor(self.workers) as pool:
-            for together in groups(specs):
-                futures = {s.name: pool.submit(self.run_target, s, run_id) for s in together}
-                wait(futures.values())
-                done |= {name: f.result() for name, f in futures.items()}
+        for together in groups(specs):
+            futures = {s.name: self.pool.submit(self.run_target, s, run_id) for s in together}
+            wait(futures.values())
+            # A target that raised all the same failed; the others' results stand.
+            done |= {name: f.exception() is None and f.result() for name, f in futures.items()}
         return done
 
+    def shutdown(self, wait_s: float) -> None:
+        self.pool.shutdown(wait_s)
+
     def reset_stale(self, specs: Iterable[TargetSpec]) -> int:
         """At start: runs that a dead process left open become failures."""
         n, at = 0, self.clock()

@@ -21,6 +21,12 @@ def named_like(targets: DataFrame, part: str) -> DataFrame:
     return targets.where(F.contains(F.lower("name"), F.lit(part.lower())))
 
 
+def reserved(asked: DataFrame, running: DataFrame) -> DataFrame:
+    """(name, decision) of the targets asked for: run, or skipped where one runs already."""
+    busy = running.select("name", F.lit(True).alias("busy")).distinct()
+    return asked.join(busy, "name", "left").select("name", F.when(F.col("busy"), "skipped").otherwise("run").alias("decision"))
+
+
 def group_rollup(targets: DataFrame) -> DataFrame:
     """Per group of (group_id, status, finished): its worst status, last finish, targets."""
     running, failed = F.bool_or(F.col("status") == "RUNNING"), F.bool_or(F.col("status") == "FAILED")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.sqltext import select_columns
 from tidemark.functions.watermark import parse
@@ -20,6 +21,11 @@ class Finding:
     message: str
 
 
+def repeated_names(config: DataFrame) -> DataFrame:
+    """(name) of targets that a configuration (name) has more than once."""
+    return config.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+
+
 def findings(specs: list[TargetSpec]) -> list[Finding]:
     """From the text alone."""
     found = [Finding(None, f"duplicate target name '{n}'") for n, k in Counter(s.name for s in specs).items() if k > 1]
@@ -73,6 +79,8 @@ def _merge(s: TargetSpec):
     for c in s.merge:
         if (c.when, c.do) not in {("matched", "update"), ("matched", "delete"), ("not_matched", "insert")}:
             yield f"merge cannot {c.do} when {c.when}"
+    if any(c.upper() in (s.watermarkColumn.upper(), *map(str.upper, s.keyColumns)) for c in s.types):
+        yield "types must not name the watermark column or a key: pages are cut by them as the source has them"
     if s.resume not in ("watermark", "tuple"):
         yield "resume must be 'watermark' or 'tuple'"
     if s.dedupe not in (None, "latest"):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,6 +190,22 @@ def nls_coercion(spark, sf_dir):
     return rows.select(typed["d"].cast("string").alias("d"), typed["t"].alias("t"), typed["n"].cast("string").alias("n"))
 
 
+_TEXTUAL = TargetSpec(
+    "textual", "SELECT o_orderkey, o_orderdate, date_format(o_orderdate, 'dd.MM.yyyy') AS day, date_format(o_orderdate, 'dd/MM/yyyy HH:mm:ss') AS moment, translate(format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2), ',.', '.,') AS price FROM orders WHERE /*WM*/",
+    "t_textual", "o_orderdate", ("o_orderkey",), pageSize=50_000, types={"day": "date", "moment": "timestamp_ntz", "price": "decimal(18,2)"},
+    formats={"NLS_DATE_FORMAT": "DD.MM.YYYY", "NLS_TIMESTAMP_FORMAT": "DD/MM/YYYY HH24:MI:SS", "NLS_NUMERIC_CHARACTERS": ",."},
+)
+
+
+@register("SELECT o_orderkey, o_orderdate, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderdate AS moment, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price FROM orders")
+def e2e_formats(spark, sf_dir):
+    """A target whose source has dates and numbers as text, loaded with its own formats."""
+    sources(spark, sf_dir, "orders")
+    engine = Engine(spark, files.fresh(spark, "formats"))
+    _must(engine.run_target(_TEXTUAL))
+    return engine.read(_TEXTUAL).withColumns({"day": F.col("day").cast("string"), "price": F.col("price").cast("string")})
+
+
 # Merges.
 
 
@@ -311,8 +327,6 @@ _COLUMNS = "target_name, wm_column, CAST(last_wm_timestamp AS STRING) AS wm, CAS
 
 
 def _clock(minute: int = 0) -> datetime:
-    from datetime import timezone
-
     return T0.replace(minute=minute, tzinfo=timezone.utc)
 
 
@@ -338,7 +352,7 @@ def _begin(s):
 
 
 def _progressed(s):
-    return st.progress(s, _SPEC, "2026-04-17 14:47:26.634828", 5000)
+    return st.progress(s, _SPEC, "2026-04-17 16:05:41.250017", 5000)
 
 
 def _finished(s):
@@ -349,36 +363,85 @@ def _failed(s):
     return st.fail(s, _SPEC, "ORA-00942", _clock(7))
 
 
-@register(f"SELECT CAST('2026-04-17 14:47:26.634828' AS VARCHAR) AS wm")
+def _at(minute: int):
+    return F.lit(f"2026-04-17 10:{minute:02d}:00").cast("timestamp")
+
+
+def _loads(spark, sf_dir) -> DataFrame:
+    """One load a nation: its name and key, the rows and the last date of its customers' orders (null without any)."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    found = orders.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("rows"), watermark.rendered(F.max("o_orderdate")).alias("wm"))
+    loads = table(spark, sf_dir, "nation").join(found, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return loads.select(F.col("n_name").alias("target_name"), F.col("n_nationkey").cast("long").alias("k"), F.coalesce("rows", F.lit(0)).alias("rows"), "wm")
+
+
+def _states_of(loads: DataFrame, *steps: str) -> DataFrame:
+    """The loads' states after steps: every third fails before it ever began; all begin; those with
+    rows make progress; even ones finish."""
+    held, wm_column = st.empty(loads.sparkSession), F.lit("updated_at").alias("wm_column")
+    for step in steps:
+        if step == "fail":
+            error = F.concat(F.lit("ORA-00942 "), F.expr("repeat('x', 3900 + 20 * int(k))")).alias("error")
+            held = st.failed(held, loads.where("k % 3 = 0").select("target_name", wm_column, error, _at(7).alias("at")))
+        elif step == "begin":
+            held = st.begun(held, loads.select("target_name", wm_column, F.concat(F.lit("r"), "k").alias("run_id"), _at(0).alias("at")))
+        elif step == "progress":
+            held = st.progressed(held, loads.where("rows > 0").select("target_name", F.lit("TIMESTAMP").alias("kind"), "wm", "rows"))
+        else:
+            held = st.finished(held, loads.where("k % 2 = 0").select("target_name", "rows", (F.col("k") * 1000).alias("ms"), _at(5).alias("at")))
+    return held.selectExpr(*[c.strip() for c in _COLUMNS.split(", ")])
+
+
+_LOADS_SQL = """
+WITH loads AS (
+  SELECT n_name AS target_name, n_nationkey AS k, count(o_orderkey)::BIGINT AS rows, max(o_orderdate) AS wm
+  FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)"""
+
+
+def _states_sql(running: str, progressed: str, finished: str, failed: str) -> str:
+    """The states' columns as CASEs over the loads; each argument says for which loads it holds."""
+    when = lambda cond, value: f"CASE WHEN {cond} THEN {value} END"
+    columns = {
+        "wm": when(progressed, "strftime(wm, '%Y-%m-%d %H:%M:%S')"), "started": when(running, f"TIMESTAMP '{_AT}'"), "run_id": when(running, "'r' || k"),
+        "run_rows": f"(CASE WHEN ({running}) AND ({progressed}) THEN rows ELSE 0 END)::BIGINT", "success": when(finished, "TIMESTAMP '2026-04-17 10:05:00'"),
+        "success_rows": when(finished, "rows"), "ms": when(finished, "(k * 1000)::BIGINT"), "failure": when(failed, "TIMESTAMP '2026-04-17 10:07:00'"),
+        "error": when(failed, "left('ORA-00942 ' || repeat('x', (3900 + 20 * k)::INT), 4000)"),
+    }
+    return f"{_LOADS_SQL} SELECT target_name, 'updated_at' AS wm_column, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM loads"
+
+
+@register(f"{_LOADS_SQL} SELECT target_name, strftime(wm, '%Y-%m-%d %H:%M:%S.%f') AS wm FROM loads")
 def watermark_read(spark, sf_dir):
-    held = st.read_watermark(_run(_begin, _progressed, _finished), _SPEC)
-    return spark.createDataFrame([(watermark.render(held),)], "wm string")
+    """What a next run of every target goes on from."""
+    loads = _loads(spark, sf_dir)
+    held = st.begun(st.empty(spark), loads.select("target_name", F.lit("updated_at").alias("wm_column"), F.lit("r").alias("run_id"), _at(0).alias("at")))
+    return st.watermarks(st.progressed(held, loads.where("rows > 0").select("target_name", F.lit("TIMESTAMP").alias("kind"), "wm", "rows")))
 
 
-@register(_state_sql(started=_AT, run_id="r1", run_rows=0, failure="2026-04-17 10:07:00", error="ORA-00942"))
+@register(_states_sql("true", "false", "false", "k % 3 = 0"))
 def state_begin_run(spark, sf_dir):
-    return _state(spark, _run(_begin, _failed, _begin))
+    return _states_of(_loads(spark, sf_dir), "fail", "begin")
 
 
-@register(_state_sql(wm="2026-04-17 14:47:26.634828", started=_AT, run_id="r1", run_rows=5000))
+@register(_states_sql("true", "rows > 0", "false", "false"))
 def state_progress(spark, sf_dir):
-    return _state(spark, _run(_begin, _progressed))
+    return _states_of(_loads(spark, sf_dir), "begin", "progress")
 
 
-@register(_state_sql(wm="2026-04-17 14:47:26.634828", run_rows=0, success="2026-04-17 10:05:00", success_rows=15000, ms=42000, failure="2026-04-17 10:07:00", error="ORA-00942"))
+@register(_states_sql("k % 2 <> 0", "rows > 0", "k % 2 = 0", "k % 3 = 0"))
 def state_finish_ok(spark, sf_dir):
-    return _state(spark, _run(_begin, _failed, _begin, _progressed, _finished))
+    return _states_of(_loads(spark, sf_dir), "fail", "begin", "progress", "finish")
 
 
-@register(_state_sql(run_rows=0, failure="2026-04-17 10:07:00", error="ORA-00942"))
+@register(_states_sql("k % 2 <> 0 AND k % 3 <> 0", "rows > 0", "k % 2 = 0", "k % 3 = 0"))
 def state_fail(spark, sf_dir):
-    return _state(spark, _run(_begin, _failed))
+    """A failure closes the run; watermark and earlier success stay."""
+    return _states_of(_loads(spark, sf_dir), "begin", "progress", "finish", "fail")
 
 
-@register("SELECT 4000::BIGINT AS n, repeat('x', 4000) AS error")
+@register("SELECT n_name AS target_name, least(4000, 10 + 3900 + 20 * n_nationkey)::BIGINT AS n FROM nation WHERE n_nationkey % 3 = 0")
 def fail_error_truncation(spark, sf_dir):
-    long = st.frame(spark, [st.fail(None, _SPEC, "x" * 5000, _clock())])
-    return long.select(F.length("last_failure_error").cast("long").alias("n"), F.col("last_failure_error").alias("error"))
+    return _states_of(_loads(spark, sf_dir), "fail").select("target_name", F.length("error").cast("long").alias("n"))
 
 
 @register(_state_sql(run_rows=0, failure="2026-04-17 12:00:00", error=st.STALE) + " UNION ALL " + _state_sql(run_rows=0, failure="2026-04-17 10:07:00", error="ORA-00942"))
@@ -431,7 +494,7 @@ def status_join(spark, sf_dir):
     return rows.select("name", "status", "rows_shown", "row_count")
 
 
-@register("SELECT * FROM (VALUES ('t', '2026-04-17 14:47:26.634828'), ('other', NULL)) v(name, wm)")
+@register("SELECT * FROM (VALUES ('t', '2026-04-17 16:05:41.250017'), ('other', NULL)) v(name, wm)")
 def status_unknown_target(spark, sf_dir):
     """A state whose target is not configured shows no watermark and is no error."""
     states = st.frame(spark, [_run(_begin, _progressed), st.progress(st.begin(None, dataclasses.replace(_SPEC, name="other"), "r", _clock()), _SPEC, "2026-01-01 00:00:00", 1)])
@@ -456,14 +519,11 @@ def group_filter(spark, sf_dir):
     return _states(spark).where("group_id = 1").select("name")
 
 
-@register("SELECT * FROM (VALUES ('a', 'skipped'), ('b', 'run'), ('c', 'run')) v(name, decision)")
+@register("SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'skipped' ELSE 'run' END AS decision FROM nation WHERE n_nationkey < 20")
 def lock_partition(spark, sf_dir):
-    specs = [dataclasses.replace(_SPEC, name=n) for n in "abc"]
-    manager = RunManager(Engine(spark, files.fresh(spark, "lock")), PipelineSpec(tuple(specs)))
-    manager.reserve(specs[:1])
-    free, skipped = manager.reserve(specs)
-    manager.shutdown()
-    return spark.createDataFrame([(s.name, "run") for s in free] + [(n, "skipped") for n in skipped], "name string, decision string")
+    """Of the targets asked for, those that run already are skipped."""
+    nations = table(spark, sf_dir, "nation").withColumnRenamed("n_name", "name")
+    return status.reserved(nations.where("n_nationkey < 20"), nations.where("n_nationkey % 4 = 0"))
 
 
 # Configuration, errors, migrations.
@@ -476,13 +536,9 @@ def config_validate(spark, sf_dir):
     return spark.createDataFrame(rows, "target string, message string").where("message not like 'could not%'").select("target", F.regexp_extract("message", "^(\\w+)", 1).alias("about"))
 
 
-_NAMES = [("a",), ("b",), ("a",), ("c",), ("c",), ("c",)]
-
-
-@register(f"SELECT name FROM {values(_NAMES, 'name')} GROUP BY name HAVING count(*) > 1")
+@register("SELECT 't' || (c_custkey * 7 % 100) AS name FROM customer GROUP BY 1 HAVING count(*) > 1")
 def config_duplicate_names(spark, sf_dir):
-    found = validate.findings([dataclasses.replace(_SPEC, name=n) for (n,) in _NAMES])
-    return spark.createDataFrame([(f.message.split("'")[1],) for f in found if f.target is None], "name string")
+    return validate.repeated_names(table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), (F.col("c_custkey") * 7 % 100).cast("string")).alias("name")))
 
 
 @register("SELECT unnest(['ORDER_ID', 'UPDATED_AT', 'AMOUNT']) AS column_name, unnest([1, 2, 3])::BIGINT AS place")
@@ -523,29 +579,46 @@ def target_row_counts(spark, sf_dir):
     return union_all([table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("name"), "row_count") for t in TABLES])
 
 
-_LOG = [("page", "a", None, 10, 10, 0.05), ("page", "a", None, 5, 5, 0.7), ("page", "b", None, 0, 0, 2.0), ("run", "a", "ok", 15, 0, 3.0), ("run", "b", "failed", 0, 0, 70.0), ("run", "a", "ok", 0, 0, 0.5), ("retry", "b", None, 0, 0, 0.0)]
-_LOG_NAMES = "event, target, status, rows, merged, seconds"
-_LOG_SQL = values(_LOG, _LOG_NAMES)
-
+_LOADS = {"orders": 1000, "orders_large": 2500}
 
-def _log(spark):
-    return spark.createDataFrame(_LOG, "event string, target string, status string, rows long, merged long, seconds double")
 
-
-@register(f"""
-SELECT 'etl_runs_total' AS series, target, status, count(*)::BIGINT AS value FROM {_LOG_SQL} WHERE event = 'run' GROUP BY target, status
-UNION ALL SELECT 'etl_rows_loaded_total', target, NULL, sum(rows)::BIGINT FROM {_LOG_SQL} WHERE event = 'page' AND rows > 0 GROUP BY target
-UNION ALL SELECT 'etl_rows_merged_total', target, NULL, sum(merged)::BIGINT FROM {_LOG_SQL} WHERE event = 'page' AND merged > 0 GROUP BY target
-UNION ALL SELECT 'etl_source_auth_retries_total', target, NULL, count(*)::BIGINT FROM {_LOG_SQL} WHERE event = 'retry' GROUP BY target""")
+def _log(spark, sf_dir) -> DataFrame:
+    """The log of two loads of all orders: their pages, a retry before every fifth, and a run each."""
+    sources(spark, sf_dir, "orders")
+    rows = catalog.rows_after(spark, dataclasses.replace(ORDERS, pageSize=None), watermark.effective(ORDERS, None))
+    traces = [paging.page_trace(rows, dataclasses.replace(ORDERS, pageSize=n)).select(F.lit(t).alias("target"), "page", "rows") for t, n in _LOADS.items()]
+    pages = traces[0].unionByName(traces[1]).withColumn("seconds", F.col("page") % 10 * F.lit(0.25))
+    none = F.lit(None).cast("string").alias("status")
+    log = pages.select(F.lit("page").alias("event"), "target", none, "rows", F.col("rows").alias("merged"), "seconds")
+    log = log.unionByName(pages.where("page % 5 = 0").select(F.lit("retry").alias("event"), "target", none, *[F.lit(0).cast(k).alias(c) for c, k in (("rows", "long"), ("merged", "long"), ("seconds", "double"))]))
+    runs = pages.groupBy("target").agg(F.sum("rows").alias("rows"), F.sum("seconds").alias("seconds"))
+    return log.unionByName(runs.select(F.lit("run").alias("event"), "target", F.lit("ok").alias("status"), "rows", F.lit(0).cast("long").alias("merged"), "seconds"))
+
+
+_LOG_SQL = """
+WITH o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+p AS (SELECT target, page, rows, (page % 10) * 0.25::DOUBLE AS seconds FROM (""" + " UNION ALL ".join(f"SELECT '{t}' AS target, ceil(k / {n}.0)::BIGINT AS page, count(*) AS rows FROM o GROUP BY ALL" for t, n in _LOADS.items()) + """)),
+log AS (
+  SELECT 'page' AS event, target, NULL AS status, rows, rows AS merged, seconds FROM p
+  UNION ALL SELECT 'retry', target, NULL, 0, 0, 0.0 FROM p WHERE page % 5 = 0
+  UNION ALL SELECT 'run', target, 'ok', sum(rows), 0, sum(seconds) FROM p GROUP BY target
+)"""
+
+
+@register(f"""{_LOG_SQL}
+SELECT 'etl_runs_total' AS series, target, status, count(*)::BIGINT AS value FROM log WHERE event = 'run' GROUP BY target, status
+UNION ALL SELECT 'etl_rows_loaded_total', target, NULL, sum(rows)::BIGINT FROM log WHERE event = 'page' AND rows > 0 GROUP BY target
+UNION ALL SELECT 'etl_rows_merged_total', target, NULL, sum(merged)::BIGINT FROM log WHERE event = 'page' AND merged > 0 GROUP BY target
+UNION ALL SELECT 'etl_source_auth_retries_total', target, NULL, count(*)::BIGINT FROM log WHERE event = 'retry' GROUP BY target""")
 def metrics_counters(spark, sf_dir):
-    return metrics.counters(_log(spark))
+    return metrics.counters(_log(spark, sf_dir))
 
 
-@register(f"""
-WITH b(le, most) AS (VALUES ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1.0), ('5.0', 5.0), ('10.0', 10.0), ('60.0', 60.0), ('600.0', 600.0), ('+Inf', 1e300)), s AS (SELECT * FROM {_LOG_SQL} WHERE event = 'run')
-SELECT t.target, b.le, count(s.seconds)::BIGINT AS n FROM (SELECT DISTINCT target FROM s) t CROSS JOIN b LEFT JOIN s ON s.target = t.target AND s.seconds <= b.most GROUP BY 1, 2""")
+@register(f"""{_LOG_SQL},
+b(le, most) AS (VALUES ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1.0), ('5.0', 5.0), ('10.0', 10.0), ('60.0', 60.0), ('600.0', 600.0), ('+Inf', 1e300)), s AS (SELECT * FROM log WHERE event = 'page')
+SELECT t.target, b.le, count(s.seconds)::BIGINT AS n, t.total FROM (SELECT target, sum(seconds) AS total FROM s GROUP BY target) t CROSS JOIN b LEFT JOIN s ON s.target = t.target AND s.seconds <= b.most GROUP BY 1, 2, 4""")
 def metrics_histogram(spark, sf_dir):
-    return metrics.histogram(_log(spark).where("event = 'run'"), "seconds", "target")
+    return metrics.histogram(_log(spark, sf_dir).where("event = 'page'"), "seconds", "target")
 
 
 @register("SELECT * FROM (VALUES (1::BIGINT, 'o_orderkey', 'NUMBER', 1::BIGINT), (2, 'o_custkey', 'NUMBER', NULL), (3, 'o_orderstatus', 'VARCHAR2', NULL), (4, 'o_totalprice', 'DOUBLE', NULL), (5, 'o_orderdate', 'TIMESTAMP', NULL), (6, 'o_orderpriority', 'VARCHAR2', NULL)) v(place, column_name, column_type, key_place)")
@@ -558,7 +631,9 @@ _TIMES = [(datetime(2026, 4, 17, 10, 0, 0),), (datetime(1999, 12, 31, 23, 59, 59
 
 @register(f"SELECT strftime(moment, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', moment)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM {values(_TIMES, 'moment')}")
 def iso_utc_format(spark, sf_dir):
-    return spark.createDataFrame(_TIMES, "moment timestamp_ntz").select(render.iso_utc(F.col("moment")).alias("iso"))
+    """Instants, made from their microseconds: the same text in any session zone."""
+    rows = spark.createDataFrame([(int(t.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000 + t.microsecond,) for (t,) in _TIMES], "micros long")
+    return rows.select(render.iso_utc(F.timestamp_micros("micros")).alias("iso"))
 
 
 _MS = [(0,), (999,), (5_000,), (59_999,), (60_000,), (125_400,), (3_600_000,)]

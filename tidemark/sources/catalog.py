@@ -43,13 +43,13 @@ def source(spark: SparkSession, spec: TargetSpec) -> DataFrame:
 
 
 def rows_after(spark: SparkSession, spec: TargetSpec, wm: object, keys: tuple | None = None) -> DataFrame:
-    """Rows after a cursor, in page order where the target is paged.  The predicate
-    stands where the query's marker is, and the optimizer takes it into the scan."""
+    """Rows after a cursor.  The predicate stands where the query's marker is, and the
+    optimizer takes it into the scan."""
     types = dict(source(spark, spec).dtypes) if keys else None
-    rows = spark.sql(with_predicate(spec.sourceQuery, seek.after(spec, wm, keys, types)))
-    return rows.orderBy(*seek.order(spec)) if spec.pageSize else rows
+    return spark.sql(with_predicate(spec.sourceQuery, seek.after(spec, wm, keys, types)))
 
 
 def page(spark: SparkSession, spec: TargetSpec, wm: object, keys: tuple | None = None) -> DataFrame:
+    """The one page after a cursor, in page order; without a page size all rows after it."""
     rows = rows_after(spark, spec, wm, keys)
-    return rows.limit(spec.pageSize) if spec.pageSize else rows
+    return rows.orderBy(*seek.order(spec)).limit(spec.pageSize) if spec.pageSize else rows

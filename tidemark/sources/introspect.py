@@ -11,6 +11,8 @@ def rendered_type(kind: T.DataType) -> str:
         return f"NUMBER({kind.precision},{kind.scale})" if kind.scale else f"NUMBER({kind.precision})"
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
         return "NUMBER"
+    if isinstance(kind, (T.VarcharType, T.CharType)):
+        return f"{'VARCHAR2' if isinstance(kind, T.VarcharType) else 'CHAR'}({kind.length})"
     if isinstance(kind, T.StringType):
         return "VARCHAR2"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

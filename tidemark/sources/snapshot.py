@@ -3,8 +3,10 @@
 A target's rows lie in buckets by a hash of their keys.  A merge reads and writes
 only the buckets that its page touches, each as a folder of a new version; the
 others stay where they are.  A version is one manifest file that names the folder
-and rows of every bucket and holds the target's run state, so data and progress
-become visible together, and readers keep the version that they opened.
+of every bucket and holds the number of rows and the target's run state, so data and
+progress become visible together, and readers keep the version that they opened.
+The number of buckets follows the rows: a table that has outgrown its buckets is
+dealt anew by the merge that finds it so.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.merge import merged
+from tidemark.operators.merge import merged, quoted
 from tidemark.sources import files
 from tidemark.spec import UPSERT, Clause
 
 BUCKETS = 16
+#: Rows that a bucket is made for; at ``GROWN`` times that on average there are too few buckets.
+BUCKET_ROWS, GROWN = 2_000_000, 4
 KEPT = 3
 
 
@@ -33,17 +37,21 @@ class ConcurrentUpdate(RuntimeError):
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = self.manifest().get("n_buckets") or buckets  # fixed when the table is first published
+        self.least = buckets
+
+    @property
+    def buckets(self) -> int:
+        return self.manifest().get("n_buckets") or self.least
 
     def manifest(self) -> dict:
         """The newest version; without one an empty version 0."""
         found = [n for n in files.names(self.spark, f"{self.path}/manifests") if n.endswith(".json") and n[0] != "."]
         if not found:
-            return {"version": 0, "keys": [], "schema": None, "buckets": {}, "state": None}
+            return {"version": 0, "keys": [], "schema": None, "n_buckets": None, "rows": 0, "buckets": {}, "state": None}
         return json.loads(files.read(self.spark, f"{self.path}/manifests/{found[-1]}"))
 
     def publish(self, manifest: dict, **changes) -> dict:
-        new = {**manifest, **changes, "version": manifest["version"] + 1, "n_buckets": self.buckets}
+        new = {**manifest, **changes, "version": manifest["version"] + 1}
         name = f"{self.path}/manifests/{new['version']:010d}.json"
         if not files.publish(self.spark, name, json.dumps(new)):
             raise ConcurrentUpdate(f"{name} exists")
@@ -51,47 +59,60 @@ class SnapshotTable:
 
     def rows(self) -> int:
         """Row count from the manifest; no job."""
-        return sum(b["rows"] for b in self.manifest()["buckets"].values())
+        return self.manifest()["rows"]
 
     def read(self, manifest: dict | None = None, only: Sequence[int] | None = None, empty_as: T.StructType | None = None) -> DataFrame:
         manifest = manifest or self.manifest()
         schema = T.StructType.fromJson(manifest["schema"]) if manifest["schema"] else empty_as
-        paths = [b["path"] for k, b in sorted(manifest["buckets"].items()) if only is None or int(k) in only]
+        paths = [p for k, p in sorted(manifest["buckets"].items()) if only is None or int(k) in only]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def bucket(self, keys: Sequence[str]) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(self.buckets)).cast("int")
-
-    def merge(self, page: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT, schema: T.StructType | None = None, state: dict | None = None) -> dict:
-        """Merge a staged page and publish it together with ``state``; returns the counts."""
+    def merge(self, page: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT, schema: T.StructType | None = None, state: dict | None = None, page_rows: int | None = None) -> dict:
+        """Merge a staged page and publish it together with ``state``; returns the counts.
+        ``page_rows``, where it is known, saves a pass over the page."""
         manifest = self.manifest()
-        touched = sorted(r[0] for r in page.select(self.bucket(keys)).distinct().collect())  # at most ``buckets`` numbers
+        page_rows = page.count() if page_rows is None else page_rows
+        had, whole = manifest["n_buckets"], manifest["rows"] + page_rows
+        n = had or self.least
+        if whole > GROWN * BUCKET_ROWS * n or not had:
+            n = max(n, -(-whole // BUCKET_ROWS))
+        bucket = lambda cols: F.pmod(F.xxhash64(*[c.cast("string") for c in cols]), F.lit(n)).cast("int")
+        # A page much larger than the number of buckets touches them all; a small one tells which.
+        if n != had or page_rows >= 8 * n:
+            touched = None
+        else:
+            touched = {r[0] for r in page.select(bucket(map(quoted, keys))).distinct().collect()}  # at most ``n`` numbers
         schema = T.StructType.fromJson(manifest["schema"]) if manifest["schema"] else (schema or page.schema)
         target = self.read(manifest, touched, empty_as=schema)
-        rows = merged(target, page, keys, clauses).where("_action != 'delete'").withColumn("_bucket", self.bucket(keys))
-        folder = f"{self.path}/data/{manifest['version'] + 1:010d}-{uuid.uuid4().hex[:12]}"
+        rows = merged(target, page, keys, clauses).withColumn("bucket", bucket([F.col("tgt").getField(k) for k in keys]))
         # The merge's shuffle is by keys, not by bucket.  A rebalance brings a bucket's rows together
-        # for few files, and splits what is too much for one task.
-        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
-        wrote = self.spark.read.schema(rows.schema).parquet(folder).groupBy("_bucket", "_action").agg(F.count(F.lit(1)).alias("n")).collect()
-        did, held = dict.fromkeys(("keep", "update", "insert"), 0), {}
-        for r in wrote:
-            did[r["_action"]] += r["n"]
-            held[str(r["_bucket"])] = held.get(str(r["_bucket"]), 0) + r["n"]
-        before = sum(b["rows"] for k, b in manifest["buckets"].items() if int(k) in touched)
-        did["delete"] = before - did["keep"] - did["update"]
-        buckets = {k: b for k, b in manifest["buckets"].items() if int(k) not in touched}
-        buckets |= {k: {"path": f"{folder}/_bucket={k}", "rows": n} for k, n in held.items()}
-        self.publish(manifest, keys=list(keys), schema=schema.jsonValue(), buckets=buckets, state=state if state is not None else manifest["state"])
+        # for few files, and splits what is too much for one task.  What was done is counted
+        # behind it, in the tasks that write, whose counts are taken once however often they run.
+        seen, actions = Observation(), ("keep", "update", "insert", "delete")
+        rows = rows.hint("rebalance", "bucket").observe(seen, *[F.count_if(F.col("action") == a).alias(a) for a in actions])
+        name, folder = self._bucket_column(schema), f"{self.path}/data/{manifest['version'] + 1:010d}-{uuid.uuid4().hex[:12]}"
+        rows = rows.where("action != 'delete'").select("tgt.*", F.col("bucket").alias(name))
+        rows.write.partitionBy(name).parquet(folder)
+        did = dict(seen.get)
+        held = {x.rpartition("=")[2]: f"{folder}/{x}" for x in files.names(self.spark, folder) if "=" in x}
+        buckets = {k: p for k, p in manifest["buckets"].items() if touched is not None and int(k) not in touched} | held
+        self.publish(manifest, keys=list(keys), schema=schema.jsonValue(), n_buckets=n, rows=manifest["rows"] + did["insert"] - did["delete"], buckets=buckets, state=state if state is not None else manifest["state"])
         return did
 
+    @staticmethod
+    def _bucket_column(schema: T.StructType) -> str:
+        name = "_bucket"
+        while name in {f.name.lower() for f in schema}:
+            name = "_" + name
+        return name
+
     def vacuum(self, kept: int = KEPT) -> None:
         """Delete the data and manifests of all but the last ``kept`` versions."""
         found = [n for n in files.names(self.spark, f"{self.path}/manifests") if n.endswith(".json") and n[0] != "."]
         held = [json.loads(files.read(self.spark, f"{self.path}/manifests/{n}")) for n in found[-kept:]]
-        used = {b["path"].rsplit("/", 2)[-2] for m in held for b in m["buckets"].values()}
+        used = {p.rsplit("/", 2)[-2] for m in held for p in m["buckets"].values()}
         for name in files.names(self.spark, f"{self.path}/data"):
             if name not in used and int(name[:10]) <= held[-1]["version"]:
                 files.delete(self.spark, f"{self.path}/data/{name}")

@@ -1,7 +1,9 @@
 """Run state: one row per target, and the transitions of a run.
 
-A state is a plain dict with the fields of ``SCHEMA``; a transition returns a new
-one.  Each is published in the target's manifest, together with the data it is about.
+An engine's own state is a plain dict with the fields of ``SCHEMA``; a transition
+returns a new one, and each is published in the target's manifest, together with the
+data it is about.  The same transitions over a table of states (``SCHEMA``) take the
+rows of all targets that they are about at once, as a merge by target_name.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.watermark import parse, render
-from tidemark.spec import NUMBER, TargetSpec
+from tidemark.functions.watermark import parse, parsed, render, rendered
+from tidemark.operators.merge import apply_merge
+from tidemark.spec import NUMBER, TIMESTAMP, Clause, TargetSpec
 
 SCHEMA = """target_name string, wm_column string, last_wm_timestamp timestamp_ntz, last_wm_number decimal(38,10),
 current_run_started timestamp, current_run_id string, current_run_rows long,
@@ -75,6 +78,50 @@ def frame(spark: SparkSession, states: list[dict]) -> DataFrame:
     return rows.select(*[F.col(f).cast(kinds[f]).alias(f) for f in FIELDS])
 
 
+KEY, CLOSE = ["target_name"], {"current_run_started": "NULL", "current_run_id": "NULL", "current_run_rows": "0L"}
+
+
+def begun(states: DataFrame, runs: DataFrame) -> DataFrame:
+    """``states`` with the runs (target_name, wm_column, run_id, at) open; earlier outcomes stay."""
+    opened = {"wm_column": "src.wm_column", "current_run_started": "src.at", "current_run_id": "src.run_id", "current_run_rows": "0L"}
+    clauses = [Clause("matched", "update", columns=opened), Clause("not_matched", "insert", columns=opened | {"target_name": "src.target_name"})]
+    return apply_merge(states, runs, KEY, clauses)
+
+
+def progressed(states: DataFrame, marks: DataFrame) -> DataFrame:
+    """``states`` with the typed watermarks and the rows so far of ``marks`` (target_name, kind, wm, rows);
+    text that is no watermark of its kind fails the job."""
+    kind, wm = F.col("kind"), F.col("wm")
+    mark = F.when(kind == NUMBER, parsed(wm, NUMBER).isNotNull()).otherwise(parsed(wm, TIMESTAMP).isNotNull())
+    right = F.when(mark, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no watermark: "), F.coalesce(wm, F.lit("null")))).cast("boolean"))
+    typed = marks.select("target_name", "rows", *[F.when((kind == k) & right, parsed(wm, k)).alias(n) for k, n in ((TIMESTAMP, "wm_t"), (NUMBER, "wm_n"))])
+    changes = {"last_wm_timestamp": "coalesce(src.wm_t, tgt.last_wm_timestamp)", "last_wm_number": "coalesce(src.wm_n, tgt.last_wm_number)", "current_run_rows": "src.rows"}
+    return apply_merge(states, typed, KEY, [Clause("matched", "update", columns=changes)])
+
+
+def finished(states: DataFrame, ends: DataFrame) -> DataFrame:
+    """``states`` with the runs of ``ends`` (target_name, rows, ms, at) successful; failure history stays."""
+    changes = {"last_success_finished": "src.at", "last_success_rows": "src.rows", "last_success_duration_ms": "src.ms", "last_keys": "NULL"}
+    return apply_merge(states, ends, KEY, [Clause("matched", "update", columns=CLOSE | changes)])
+
+
+def failed(states: DataFrame, errors: DataFrame) -> DataFrame:
+    """``states`` with the failures (target_name, wm_column, error, at), also of runs that never began;
+    success history stays."""
+    changes = CLOSE | {"last_failure_finished": "src.at", "last_failure_error": f"left(src.error, {LONGEST_ERROR})"}
+    new = changes | {"target_name": "src.target_name", "wm_column": "src.wm_column"}
+    return apply_merge(states, errors, KEY, [Clause("matched", "update", columns=changes), Clause("not_matched", "insert", columns=new)])
+
+
+def watermarks(states: DataFrame) -> DataFrame:
+    """(target_name, wm): the stored watermarks as text, null before a run got that far."""
+    return states.select("target_name", F.coalesce(rendered(F.col("last_wm_timestamp")), F.col("last_wm_number").cast("string")).alias("wm"))
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], SCHEMA)
+
+
 def reset_stale(states: DataFrame, at: Column) -> DataFrame:
     """Every open run of a state table becomes a failure, in one projection."""
     stale = F.col("current_run_started").isNotNull()

@@ -42,6 +42,8 @@ class TargetSpec:
     pageSize: int | None = None
     lookbackMinutes: int | None = None
     group: int | None = None
+    #: Types of staged columns that the source has as text, and the session formats that read them.
+    types: dict[str, str] = field(default_factory=dict)
     formats: dict[str, str] = field(default_factory=dict)
     #: "watermark": a stopped run goes on after the last watermark, rows tied with it are
     #: left to the lookback; "tuple": it goes on after the last row.
@@ -50,7 +52,7 @@ class TargetSpec:
     monotonic: bool = False
     #: None: repeated keys in a page are an error; "latest": the last in page order counts.
     dedupe: str | None = None
-    #: Parts of the target by a hash of its keys; a merge rewrites those that it touches.
+    #: Parts of the target by a hash of its keys, at least; a merge rewrites those that it touches.
     buckets: int = 16
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.merge import check_keys
 from tidemark.operators.staging import latest_per_key
 from tidemark.sources.snapshot import SnapshotTable
 from tidemark.spec import UPSERT, Clause
@@ -25,7 +24,6 @@ def upsert_stream(stream: DataFrame, table: SnapshotTable, keys: Sequence[str],
         if number <= done or batch.isEmpty():
             return
         rows = latest_per_key(batch, keys, latest_by) if latest_by else batch
-        check_keys(rows, keys)
         table.merge(rows, keys, clauses, state={"batch": number})
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
