@@ -34,7 +34,8 @@ def docs(spark, rows):
 
     made = spark.createDataFrame(rows, SCHEMA)
     extra = ("size", "copies", "row", "fp", "component_id", "score", "spans", "items", "kept", "key", "target", "name", "n_words", "body", "lines", "n")
-    return made.select("*", *[F.lit("clash").alias(c) for c in extra]).repartition(3)
+    odd = [F.lit("dot").alias("a.b"), F.lit("quote").alias("c`d"), F.create_map(F.lit("k"), F.lit("v")).alias("tags")]
+    return made.select("*", *[F.lit("clash").alias(c) for c in extra], *odd).repartition(3)
 
 
 @pytest.fixture(scope="session")

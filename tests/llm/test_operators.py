@@ -93,11 +93,60 @@ def test_token_files_round_trip(docs, rows, tmp_path):
 def test_remembered_words_change_no_ids(text):
     import public_tokenizers
 
-    own = token_files.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    own = token_files.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert isinstance(own, token_files.WordTokenizer)
     for t in (text, text.upper() + " The, the. THE", "<|ENDOFTEXT|> <|endoftext|> " + text):
         assert own.encode(t) == np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizers_get_whole_texts(docs, rows, tmp_path):
+    """A byte-level tokenizer keeps case and spaces: its ids are not those of pieces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.splits_at_spaces(path)
+    plain = Tokenizer.from_file(path)
+    got = token_files.token_files(docs.withColumn("doc_id", F.col("doc_id").cast("string")), path, 7, f"file://{tmp_path}/t").collect()
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 7]
+        want[None if doc_id is None else str(doc_id), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+def test_changed_tokenizer_files_lose_the_shortcut(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] = {"type": "BPE", "vocab": {"a</w>": 0}, "merges": [], "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False}
+    spec["added_tokens"] = []
+
+    def splits(**changes):
+        (tmp_path / "t.json").write_text(json.dumps({**spec, **changes}))
+        return token_files.splits_at_spaces(str(tmp_path / "t.json"))
+
+    split, bytes_ = spec["pre_tokenizer"]["pretokenizers"]
+    assert splits()
+    assert not splits(normalizer=None) and not splits(normalizer={"type": "NFC"}) and not splits(pre_tokenizer=None)
+    assert not splits(pre_tokenizer={"type": "Sequence", "pretokenizers": [{**split, "pattern": {"Regex": " ?[a-z]+|[^a-z]"}}, bytes_]})
+    assert not splits(pre_tokenizer={"type": "Sequence", "pretokenizers": [{**split, "pattern": {"Regex": "[^\\s]+"}}, bytes_]})
+
+
+def test_shards_end_after_so_many_documents(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    made = spark.createDataFrame([(k, f"w{k}") for k in range(23)], "doc_id long, text string").coalesce(1)
+    got = token_files.write_tokens(made, public_tokenizers.path("word_bpe_49k.json"), 1, f"file://{tmp_path}/t", shard_docs=3).orderBy("shard").collect()
+    assert len(got) >= 8 and max(r.n_docs for r in got) == 3 and sum(r.n_docs for r in got) == 23
+    manifest = token_files.read_manifest(spark, f"file://{tmp_path}/t")
+    read = sorted(map(tuple, token_files.read_documents(manifest).select("doc_id", "start", "n_tokens").collect()))
+    assert [r[0] for r in read] == list(range(23)) and all(a[1] + a[2] == b[1] for a, b in zip(read, read[1:]))
+
+
 def test_blocks_of_a_shard(tmp_path):
     random, docs = np.random.default_rng(0), []
     out = token_files.ShardWriter(f"file://{tmp_path}", "s")
@@ -185,16 +234,44 @@ def test_media_round_trip(docs, rows):
     assert same[34] == same[35] == same[5] and same[30] == same[31] and same[34] != same[36]
 
 
-@pytest.mark.parametrize("kind", range(5))
-def test_png_filters(kind):
-    samples = np.random.default_rng(kind).integers(0, 256, (9, 64)).astype(np.uint8)
-    data = media.encode_png(samples, kind)
+def plain_unfilter(kinds, rows):
+    """The format's definition, sample by sample."""
+    out = np.zeros(rows.shape, int)
+    for y in range(rows.shape[0]):
+        for x in range(rows.shape[1]):
+            a, b, c = (int(out[y - j, x - i]) if y >= j and x >= i else 0 for i, j in ((1, 0), (0, 1), (1, 1)))
+            p = a + b - c
+            nearest = min((abs(p - v), k) for k, v in enumerate((a, b, c)))[1]
+            out[y, x] = (int(rows[y, x]) + (0, a, b, (a + b) // 2, (a, b, c)[nearest])[kinds[y]]) % 256
+    return out
+
+
+@pytest.mark.parametrize("kinds", [[0] * 9, [1] * 9, [2] * 9, [3] * 9, [4] * 9, [2, 2, 0, 2, 1, 2, 2, 1, 2], [4, 2, 2, 3, 4, 0, 2, 3, 2], [3, 4, 1, 2, 4, 2, 2, 2, 3]])
+def test_png_filters(kinds):
+    r, kinds = np.random.default_rng(sum(kinds)), np.array(kinds, np.uint8)
+    rows = r.integers(0, 256, (9, 64)).astype(np.uint8)
+    samples = media.unfilter(kinds, rows)
+    assert np.array_equal(samples, plain_unfilter(kinds, rows))
+    assert all(np.array_equal(media.residual(samples, k)[y], rows[y]) for y, k in enumerate(kinds.tolist()))
+    data = media.encode_png(samples, tuple(dict.fromkeys(kinds.tolist())))
     assert np.array_equal(media.decode_png(data), samples)
     for at in (20, len(data) // 2, len(data) - 6):
         with pytest.raises((ValueError, zlib.error)):
             media.decode_png(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
 
 
+def test_rows_have_the_filter_of_the_least_sum(monkeypatch):
+    monkeypatch.setattr(media, "TOGETHER", 4)
+    text = prose(3, 400).encode()
+    samples = np.frombuffer(media.payload(text), np.uint8).reshape(-1, 64)
+    for filters in (media.RUNS, range(5)):
+        data = media.encode_png(samples, tuple(filters))
+        rows = np.frombuffer(zlib.decompress(data[41 : 41 + int.from_bytes(data[33:37], "big")]), np.uint8).reshape(-1, 65)
+        sums = [[int(np.abs(media.residual(samples, f)[y].view(np.int8).astype(int)).sum()) for f in filters] for y in range(len(samples))]
+        assert rows[:, 0].tolist() == [int(np.argmin(s)) for s in sums] and len(set(rows[:, 0].tolist())) > 1
+        assert media.decode_png(data).tobytes() == media.payload(text)
+
+
 def test_features_follow_low_frequencies():
     r = np.random.default_rng(0)
     base, other = (np.kron(r.integers(20, 230, (8, 8)), np.ones((16, 8))).astype(np.uint8) for _ in range(2))
@@ -208,7 +285,7 @@ def test_features_follow_low_frequencies():
 
 URLS = [
     (1, "http://a.ORG/x"), (2, "https://www.Example.org/es/1?q"), (3, "https://example.org/en/12"), (4, "https://xexample.org/es/1"), (5, "http://a.com/fr/1#t"),
-    (6, "http://a.com/de/"), (7, "http://a.com/de"), (8, None), (9, "no scheme"), (10, "http://org"), (11, ""), (12, "x://cheap-pills.example.net/en/9://"),
+    (6, "http://a.com/de/"), (7, "http://a.com/de"), (8, None), (9, "no scheme"), (10, "http://org"), (11, ""), (12, "x://cheap-viagra-shop.biz/order/9://"),
     (13, "http://b.example.net/q?u=http://a.org/"), (14, "http://a.org"), (15, "HTTP://u.ORG/\nline#x"), (16, "a//b://h/p"),
 ]
 
@@ -345,6 +422,49 @@ def test_warc(spark, tmp_path):
     assert warc.archive(made.limit(0)).count() == 0
 
 
+def test_warc_takes_any_page_id_in_any_zone(spark, tmp_path):
+    ids = [2**62, -(2**62), 2**60, -1, 0, 5, None, 20_000_000, 2**63 - 1]
+    pages = [(k, "http://a.org/", f"<p>{k}") for k in ids] + [(k, "http://b.org/", "same" * 300) for k in ids]
+    made, zone = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.conf.get("spark.sql.session.timeZone")
+    want = Counter((k, "response", None) for k in ids) + Counter((k, "response" if k == max(x for x in ids if x is not None) else "revisit", None if k == 2**63 - 1 else 2**63 - 1) for k in ids)
+    dates = {}
+    for z in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        try:
+            got = warc.archive(made, folder=f"file://{tmp_path}/{z[:3]}").collect()
+            dates[z] = Counter((r.page_id, r.captured) for r in spark.read.parquet(f"file://{tmp_path}/{z[:3]}/_history").collect())
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == want
+    assert dates["UTC"] == dates["America/New_York"]
+    at = dict(dates["UTC"].keys())
+    assert at[0] == "2024-01-01T00:00:00Z" and at[5] == "2024-01-01T00:00:05Z" and at[20_000_000] == "2024-08-19T11:33:20Z" and at[-1] == "2024-12-30T23:59:59Z"
+
+
+def test_pages_are_not_dealt_by_digest(spark):
+    """Very many equal pages, empty and long: no exchange has the html by its digest."""
+    pages = spark.range(3000).selectExpr("id AS page_id", "'http://a.org/' || id AS url", "CASE WHEN id % 3 = 0 THEN '' ELSE repeat('error page ', 200) END AS html")
+    plan = warc.planned(pages)
+    dealt = [x for x in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in x]
+    assert all("page_id" in x for x in dealt)
+    got = Counter((r.revisit, r.refers_to) for r in plan.select("revisit", "refers_to").collect())
+    assert got == {(False, None): 1001, (True, 2999): 1999}
+
+
+@pytest.mark.parametrize("most", [7, 1000])
+def test_merged_history_is_one_order(spark, tmp_path, monkeypatch, most):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(warc, "RANGE", most)
+    made = spark.createDataFrame([(k if k % 5 else None, f"http://h{k % 3}.org/{k % 2}", f"{k}") for k in range(60)], "page_id long, url string, html string").repartition(4)
+    runs = warc.write_runs(warc.planned(made), f"file://{tmp_path}/w", file_bytes=1500)
+    assert runs.select("run").distinct().count() > 5
+    warc.merge_runs(runs, f"file://{tmp_path}/w")
+    parts = sorted(p for p in (tmp_path / "w/_history").iterdir() if p.suffix == ".parquet")
+    rows = [warc.order(r) for p in parts for r in zip(*(c.to_pylist() for c in pq.read_table(p).columns))]
+    assert rows == sorted(rows) and len(rows) == 60
+
+
 def test_warc_files_are_bounded(spark, tmp_path):
     plan = warc.planned(spark.range(50).selectExpr("id AS page_id", "'http://a.org/' || id AS url", "repeat(sha2(string(id), 256), 30) AS html")).coalesce(1)
     assert warc.write_runs(plan, f"file://{tmp_path}/w", file_bytes=5_000).select("run").distinct().count() > 2
@@ -417,6 +537,20 @@ def test_quality_learns_structure(spark, docs):
     assert kept.columns == docs.columns
 
 
+def test_quality_sample_is_the_same_for_any_partitions(spark):
+    """Repeated doc_ids do not swell the sample, and neither their order nor the partitions change the model."""
+    made = [(k % 50, prose(k, 30 + k % 7)) for k in range(3000)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(50)] * 3, "doc_id long, quality int, toxic int")
+    frame, models, sizes = spark.createDataFrame(made, "doc_id long, text string"), [], []
+    whole, fitted = quality.fit, lambda rows, y: sizes.append(len(rows)) or whole(rows, y)
+    for part in (frame.repartition(7), frame.orderBy(F.desc("text")).coalesce(2)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(quality, "fit", fitted)
+            models.append(quality.train(part, labels, sample=20))
+    assert sizes == [20, 20] and models[0]["bias"] == models[1]["bias"]
+    assert np.array_equal(models[0]["w"], models[1]["w"]) and np.array_equal(models[0]["v"], models[1]["v"])
+
+
 def test_quality_without_labels(docs, spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {round(r.score, 6) for r in quality.classify(docs, none).collect()} == {0.5}

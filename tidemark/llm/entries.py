@@ -123,16 +123,16 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
     "op8_line_dedup": r"""
 WITH d AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
-  SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  SELECT r, doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)
 ), gone AS (
-  SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(gone.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(CASE WHEN gone.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
-FROM l LEFT JOIN gone USING (key) GROUP BY doc_id
+FROM l LEFT JOIN gone USING (key) GROUP BY r, doc_id
 """,
     "op7_warc": r"""
 WITH p AS (

@@ -14,7 +14,8 @@ chosen by a hash of doc_id.  Prediction reads every whole text.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; with
 nothing to learn from every text is; equal entropies go to the first language by
-code point; letters outside the basic plane count as one and the same letter.
+code point; letters outside the basic plane count as one and the same letter; a
+doc_id of any type is returned as it is.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import typed
+
 ORDER = 4
 PER_LANGUAGE = 3_000
 #: Languages at most; each has a model in every scoring task.
@@ -258,7 +261,7 @@ def calibrate(languages: list[str], told: list[tuple[str, list[float]]]) -> dict
     return {"temperature": best, "most": most}
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
+PREDICTED = "lang_pred string, score double, rejected boolean"
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -281,7 +284,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 rejected = (n == 0) | (least > limits[best])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTED)
+    return docs.select("doc_id", "text").mapInArrow(run, f"{typed(docs, 'doc_id')}, {PREDICTED}")
 
 
 def identify(docs: DataFrame) -> DataFrame:

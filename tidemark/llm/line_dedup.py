@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.storage import drop, materialised, shared_path
+from tidemark.llm.storage import drop, materialised, own, shared_path
 
 #: Documents that must share a key for its lines to go, and the shortest such key.
 SHARED_BY, SHORTEST = 10, 1
@@ -226,7 +226,7 @@ def drop_shared_lines(docs: DataFrame, carry: list[str], shared_by: int = SHARED
     spark, at = docs.sparkSession, shared_path(docs.sparkSession, "lines")
     keys, sent, segments = shared_lines(docs.select("text"), shared_by, shortest, most_bits)
     keys = materialised(keys, f"{at}/keys")
-    packed = docs.select(F.struct(*carry).alias("row"), "text")
+    packed = docs.select(F.struct(*own(carry)).alias("row"), "text")
     if keys.count() <= set_up_to:
         gone = spark.sparkContext.broadcast({digest(bytes(r.key)) for r in keys.toLocalIterator()})
         drop(spark, at)
@@ -261,6 +261,8 @@ def drop_shared_lines(docs: DataFrame, carry: list[str], shared_by: int = SHARED
 
     shared = docs.select("text").mapInArrow(pairs, "name binary, line binary").distinct()
     shared = shared.join(keys.mapInArrow(digests, "line binary"), "line", "left_semi").groupBy("name").agg(F.collect_set("line").alias("lines"))
+    # Written down it is a plain scan: texts that very many rows share are split over tasks in the join.
+    shared = materialised(shared, f"{at}/shared")
     shape = T.StructType([T.StructField("name", T.BinaryType()), packed.schema["row"], packed.schema["text"]])
     out = packed.mapInArrow(named, shape).join(shared, "name", "left").select("row", "text", "lines")
     return out.mapInArrow(cut_own, T.StructType([packed.schema["row"], *_MADE]))

@@ -13,7 +13,9 @@ part.  The text itself never moves for the decision.
 
 Defined cases: null text has size 0 and is never emitted; a null source is a
 source of its own, last in the order of weights; rows that are the same in
-(doc_id, source, size) share their copies; an empty table gives an empty mix.
+(doc_id, source, size) share their copies, in the order of their texts' hashes and
+then of all they hold, so reruns agree; doc_id may have any type that can be
+ordered; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import drop, materialised, shared_path
+from tidemark.llm.storage import drop, materialised, own, shared_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -115,14 +117,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
     kept = mix_copies(docs, None, weights, cap, seed).where("size > 0")
     kept = kept.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("of"))
     kept = materialised(kept.where("copies > 0").withColumn("h", F.xxhash64("doc_id", "source", "size")), at)
-    whole = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(*names).alias("row"))
+    whole = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(*own(names)).alias("row"))
     whole = whole.withColumn("h", F.xxhash64("doc_id", "source", "size"))
     # Null-safe comparisons would be join keys of their own, and a second dealing; wrapped they only check.
     same = F.expr("d.h = k.h and if(d.doc_id <=> k.doc_id and d.source <=> k.source and d.size = k.size, true, false)")
     both = whole.alias("d").join(kept.alias("k").hint("merge"), same)
-    own = F.col("k.copies")
+    share = F.col("k.copies")
     if kept.where("of > 1").limit(1).count():
-        rows = Window.partitionBy("d.h", "d.doc_id", "d.source", "d.size").orderBy("d.doc_id")
+        rows = Window.partitionBy("d.h", "d.doc_id", "d.source", "d.size").orderBy(F.xxhash64("row.text"), F.to_json("row"))
         both = both.select("row", "copies", "of", F.row_number().over(rows).alias("nth"))
-        own = F.expr("copies div of + int(nth <= copies % of)")
-    return both.withColumn("own", own).where("own > 0").select("row", F.explode(F.expr("sequence(1, own)"))).select("row.*")
+        share = F.expr("copies div of + int(nth <= copies % of)")
+    return both.withColumn("share", share).where("share > 0").select("row", F.explode(F.expr("sequence(1, share)"))).select("row.*")

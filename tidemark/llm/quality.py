@@ -6,12 +6,15 @@ The machine has a bias, a weight for each feature, and a vector of ``RANK``
 numbers for each; pairs interact by the product of their vectors.  The sum over
 pairs costs linear time: half of (square of the sum less sum of the squares).
 
-Fitting reads a bounded sample: the ``SAMPLE`` labelled rows that come first by a
-hash of doc_id, whose features the driver gathers.  Scoring reads every whole text.
+Fitting reads a bounded sample: the ``SAMPLE`` different (doc_id, label) that come
+first by a hash of doc_id, whose features the driver gathers.  Scoring reads every
+whole text.
 
 Defined cases: null or empty text is scored by its structure alone; with no
-labels, or one kind only, every score is the share of label 1 (0.5 with none);
-a document labelled several times counts once for each label.
+labels, or one kind only, every score is the share of label 1 (0.5 with none); a
+document labelled several times counts once for each different label; of several
+rows of one doc_id the text that comes first by its hash is learned from, so the
+model is the same whatever the rows' order and partitions.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.storage import own, typed
+
 SAMPLE = 6_000
 WORDS, RANK = 1024, 8
+#: Texts scored as one sparse product.
+TOGETHER = 256
 EPOCHS, BATCH, RATE, SHRINK, SEED = 24, 128, 0.08, 2e-5, 7
 #: Bounds of the bins of each statistic: shares of bytes, of words or of lines; logarithms.
 SHARES = (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.7)
@@ -75,10 +82,19 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probability(model: dict, at: np.ndarray, x: np.ndarray) -> float:
-    """Of label 1; the pairs' part by the sum-of-squares identity."""
+    """Of label 1, of one text."""
+    return float(probabilities(model, [(at, x)])[0])
+
+
+def probabilities(model: dict, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of label 1, of several texts at once; the pairs' part by the sum-of-squares identity.
+    No row is empty: every text has its statistics."""
+    at, x = (np.concatenate([r[k] for r in rows]) for k in range(2))
+    starts = np.cumsum([0, *(len(a) for a, _ in rows[:-1])])
     v = model["v"][at] * x[:, None]
-    total = model["bias"] + model["w"][at] @ x + 0.5 * (v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum()
-    return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+    pairs = (np.add.reduceat(v, starts, axis=0) ** 2 - np.add.reduceat(v**2, starts, axis=0)).sum(axis=1)
+    total = model["bias"] + np.add.reduceat(model["w"][at] * x, starts) + 0.5 * pairs
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> dict:
@@ -116,16 +132,17 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    known = known.select("doc_id", F.col("quality").cast("int").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))], ["doc_id", "label", "at", "x"])
 
-    # At most ``sample`` rows of two numbers: small whatever the corpus.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(run, "doc_id long, label int, at array<int>, x array<float>").limit(2 * sample).toArrow()
+    # At most ``sample`` rows of two small columns, whatever the corpus; then one row for each of them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label")
+    rows = rows.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "label", "first.text")
+    got = rows.mapInArrow(run, f"{typed(docs, 'doc_id')}, label int, at array<int>, x array<float>").toArrow()
     order = sorted(range(got.num_rows), key=lambda k, ids=got["doc_id"].to_pylist(), ls=got["label"].to_pylist(): (ids[k], ls[k]))
     at, x, y = got["at"].to_pylist(), got["x"].to_pylist(), got["label"].to_pylist()
     return fit([(np.array(at[k]), np.array(x[k])) for k in order], np.array([y[k] for k in order], np.float64))
@@ -134,15 +151,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def score(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     """Per row of ``docs`` (text): ``row``, a struct of the columns ``carry``, and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = "text" in carry
+    carried = "text" in carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("row").field("text") if own else batch.column("text")
-            scores = [probability(sent.value, *features(t.as_py() or b"")) for t in texts.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+            texts = batch.column("row").field("text") if carried else batch.column("text")
+            scores, texts = [], texts.cast(pa.binary())
+            for at in range(0, len(texts), TOGETHER):
+                scores.append(probabilities(sent.value, [features(t.as_py() or b"") for t in texts.slice(at, TOGETHER)]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate([[], *scores]), pa.float64())], ["row", "score"])
 
-    packed = docs.select(F.struct(*carry).alias("row"), *([] if own else ["text"]))
+    packed = docs.select(F.struct(*own(carry)).alias("row"), *([] if carried else ["text"]))
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
 
 

@@ -24,7 +24,7 @@ Defined cases: null text and text without words have the fingerprint zero, and
 link like any other; shorter texts than three words have one shingle, the whole
 sequence; doc_id names a document, repeated rows of one id are one document; a
 null doc_id is never the smallest unless a component has no other; then its rows
-are told apart by text.
+are told apart by text.  doc_id may have any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import drop, materialised, shared_path
+from tidemark.llm.storage import drop, materialised, own, shared_path, typed
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 PAIRS_UP_TO = 128
@@ -82,7 +82,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             values = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], ["doc_id", "fp", "digest"])
 
-    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(run, "doc_id long, fp long, digest long")
+    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(run, f"{typed(docs, 'doc_id')}, fp long, digest long")
 
 
 def _digest():
@@ -161,13 +161,14 @@ def components(edges: DataFrame) -> DataFrame:
     at, done, rounds = materialised(edges.where("u != v").select("u", "v"), path), None, 0
     while True:
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Written down, the least neighbours are a plain scan, so that the join with the edges of a hub can be split.
+        least = materialised(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{path}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         path, old = shared_path(spark, "components"), path
         at = materialised(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), path)
-        drop(spark, old)
+        drop(spark, old, f"{old}-least")
         state = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == done:
             break
@@ -206,9 +207,9 @@ def one_of_each(docs: DataFrame, groups=near_duplicates) -> DataFrame:
     names = docs.columns
     kept = groups(docs).where("doc_id <=> component_id").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     kept = materialised(kept, shared_path(docs.sparkSession, "simhash-kept"))
-    whole = docs.select(F.col("doc_id"), _digest().alias("digest"), F.struct(*names).alias("row"))
+    whole = docs.select(F.col("doc_id"), _digest().alias("digest"), F.struct(*own(names)).alias("row"))
     out = whole.alias("d").join(kept.alias("k").hint("merge"), F.expr("d.doc_id <=> k.doc_id and d.digest = k.digest")).select("d.doc_id", "d.digest", "row")
     repeated = kept.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1")
     if repeated.limit(1).count():
-        out = out.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("digest"))).agg(F.min("row").alias("row"))
+        out = out.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("digest"))).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return out.select("row.*")

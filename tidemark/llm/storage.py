@@ -1,17 +1,20 @@
 """Places that the driver and all executors share, and plain files in them.
 
 Everything an operator keeps between two jobs goes below the folder that the
-cluster names in ``spark.checkpoint.dir``.  Where that is unset (unit tests on
-one machine) a folder of this process stands in for it.
+cluster names in ``spark.checkpoint.dir``.  Where that is unset on one machine (unit
+tests) a folder of this process stands in for it; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -21,7 +24,10 @@ def _own_root() -> str:
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A path of its own, not yet in use, that every executor can reach."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or _own_root()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or _own_root()
     if "://" not in root and root.startswith("/"):
         root = "file://" + root
     return f"{root.rstrip('/')}/tidemark-{tag}-{uuid.uuid4().hex}"
@@ -40,11 +46,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def own(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, whatever dots and quotes these have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def typed(df: DataFrame, name: str, alias: str | None = None) -> str:
+    """A column's name and type as schema text: ids keep the type that the table gives them."""
+    return f"{alias or name} {df.schema[name].dataType.simpleString()}"
+
+
 def filesystem(uri: str):
-    """(pyarrow filesystem, path in it) of a file or folder, on an executor."""
+    """(pyarrow filesystem, path in it) of a file or folder, on an executor.  What Hadoop
+    names ``s3a`` and ``s3n`` pyarrow names ``s3``."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 class CommittedFile:

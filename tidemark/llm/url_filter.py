@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: (verdict, rule): a rule is a host, which covers its subdomains, and the begin of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-BUCKETS, SIZES = 1024, (3, 4)
-STEPS, RATE, SHRINK = 150, 4.0, 0.002
+BUCKETS, SIZES = 8192, (3, 4, 5)
+STEPS, RATE, SHRINK = 300, 6.0, 0.003
 MOST_LABELLED = 2_000
 
 #: What labelled URLs are made of: words of hosts and of paths, for URLs to block and for plain ones.
@@ -53,7 +53,14 @@ def _made(words: list[str], paths: list[str], ends: list[str], n: int) -> tuple[
     return tuple(out)
 
 
-BLOCKED, PLAIN = _made(SPAM_WORDS, SPAM_PATHS, SPAM_ENDS, 90), _made(PLAIN_WORDS, PLAIN_PATHS, PLAIN_ENDS, 110)
+def _neutral(n: int) -> tuple[str, ...]:
+    """``n`` names of two or three syllables that mean nothing: a host of which nothing is known is plain."""
+    parts = [c + v for c in "bcdfghklmnprstvwz" for v in "aeiou"]
+    return tuple("".join(parts[(k * (29 + 8 * j) + j * j) % len(parts)] for j in range(2 + k % 2)) for k in range(1, n + 1))
+
+
+BLOCKED = _made(SPAM_WORDS, SPAM_PATHS, SPAM_ENDS, 180)
+PLAIN = _made(PLAIN_WORDS, PLAIN_PATHS, PLAIN_ENDS, 90) + _made(list(_neutral(40)), PLAIN_PATHS + SPAM_PATHS[::3], PLAIN_ENDS + SPAM_ENDS, 40)
 
 
 def _after_scheme(url: Column) -> Column:
@@ -112,11 +119,14 @@ def trained(table: DataFrame, buckets: int = BUCKETS, steps: int = STEPS) -> Dat
     rows = rows.select("label", "f", _scale(F.col("f")).alias("s"))
     # By example: its buckets; by bucket: the examples that have it.  Examples in one order.
     ranked = rows.agg(F.array_sort(F.collect_list(F.struct("label", "f", "s"))).alias("rows"))
-    by_bucket = f"""transform(sequence(0, {buckets - 1}), b -> filter(sequence(1, size(rows)), k -> array_contains(rows[k - 1].f, b)))"""
-    ranked = ranked.withColumn("cols", F.expr(by_bucket))
+    having = ranked.select(F.posexplode("rows").alias("k", "row")).select("k", F.explode("row.f").alias("id"))
+    having = having.groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    whole = table.sparkSession.range(buckets).join(having, "id", "left").select("id", F.coalesce("ks", F.expr("cast(array() as array<int>)")).alias("ks"))
+    cols = whole.agg(F.array_sort(F.collect_list(F.struct("id", "ks"))).alias("all")).select(F.col("all.ks"))
+    ranked = ranked.withColumn("cols", cols.scalar())
     error = "transform(rows, r -> 1 / (1 + exp(-(aggregate(r.f, 0D, (a, b) -> a + w[b]) * r.s + w[" + str(buckets) + "]))) - r.label)"
     step = f"""aggregate(array({error}), w, (v, e) -> concat(
-        transform(cols, (ks, b) -> v[b] * {1 - SHRINK}D - {RATE}D * aggregate(ks, 0D, (a, k) -> a + e[k - 1] * rows[k - 1].s) / size(rows)),
+        transform(cols, (ks, b) -> v[b] * {1 - SHRINK}D - {RATE}D * aggregate(ks, 0D, (a, k) -> a + e[k] * rows[k].s) / size(rows)),
         array(v[{buckets}] - {RATE / 4}D * aggregate(e, 0D, (a, x) -> a + x) / size(rows))))"""
     return ranked.select(F.expr(f"aggregate(sequence(1, {steps}), array_repeat(0D, {buckets + 1}), (w, i) -> {step})").alias("w"))
 

@@ -3,19 +3,24 @@
 Pages become WARC 1.1 records, one gzip member each, in files of bounded size.
 Every file closes with its captures sorted by URL key and timestamp: a local run.
 Runs are merged externally: captures are dealt by ranges of (URL key, timestamp,
-page), each range takes its slice of every run, still sorted, and a loser tree
-merges the slices, so the ranges one after the other are the capture histories
-of all URLs.  A URL with very many captures spans several ranges.
+page), as many as it takes for ``RANGE`` captures each; a range takes its slice of
+every run, still sorted and in Arrow's compact form, and a loser tree merges the
+slices as streams, so the ranges one after the other are the capture histories of
+all URLs.  A URL with very many captures spans several ranges.
 
 Of records with equal payloads of at least ``REVISIT_FROM`` bytes, that with the
 largest page_id is the response; the others are revisits, which keep the HTTP
-header and refer to it.  Shorter payloads are always responses.
+header and refer to it.  Shorter payloads are always responses.  Only ids and digests
+of the long payloads meet by digest; the pages themselves meet their decisions by
+page_id, so a payload that a third of all pages share gathers in no task.
 
 Defined cases: null html is an empty payload, null url an empty URL key; a null
 page_id is smaller than any other; rows repeated with the largest page_id are all
-responses; an empty table writes no file.  File names are new for each attempt of
-a task, and only what a finished attempt reports is indexed, so a lost executor
-leaves stray files, not wrong offsets.
+responses; an empty table writes no file; without a ``captured`` column a page's
+date follows from its page_id and lies within one year, in UTC whatever the
+session's zone.  File names are new for each attempt of a task, and only what a
+finished attempt reports is indexed, so a lost executor leaves stray files, not
+wrong offsets.
 """
 
 from __future__ import annotations
@@ -23,23 +28,30 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import CommittedFile, filesystem, shared_path
+from tidemark.llm.storage import CommittedFile, drop, filesystem, materialised, shared_path
 
 REVISIT_FROM = 1000
+#: Captures that a range of the merged index holds, about.
+RANGE = 200_000
 FILE_BYTES = 32 << 20
 READ_BYTES = 4 << 20
+#: Rows of a slice that the merge has as Python values at a time.
+STREAMED = 500
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:tidemark:page:"
 
+YEAR_S = 365 * 86_400
 RUN = "url_key string, captured string, page_id long, run string, path string, at long, length long"
 _RUN = pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("run", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -118,16 +130,29 @@ class LoserTree:
             self._play(winner)
 
 
+def default_date(page_id: Column) -> Column:
+    """A date of 2024 for any page_id, put together from whole numbers: no session zone plays a part."""
+    second = F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(YEAR_S))
+    part = lambda by, most: F.lpad((F.floor(second / by) % most).cast("string"), 2, "0")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(second / 86_400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60), F.lit("Z"))
+
+
 def planned(pages: DataFrame, captured: Column | None = None, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """page_id, url, html, captured, refers_to, revisit of every page (page_id, url, html)."""
-    if captured is None:
-        captured = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    spark, at = pages.sparkSession, shared_path(pages.sparkSession, "warc-plan")
+    captured = default_date(F.col("page_id")) if captured is None else captured
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), captured.alias("captured"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    groups = rows.where(F.octet_length("html") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(groups.where("n > 1 and first is not null").select("digest", "first"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", "html", "captured", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= revisit_from, F.sha1("html")))
+    long = materialised(rows.where("digest is not null").select("page_id", "digest"), f"{at}/long")
+    groups = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # Written down, both sides of these joins are plain scans: a digest or page_id that very many rows share is split.
+    groups = materialised(groups.where("n > 1 and first is not null").select("digest", "first"), f"{at}/groups")
+    again = long.join(groups, "digest").where("not (page_id <=> first)").distinct()
+    again = materialised(again.select("page_id", "digest", "first"), f"{at}/again")
+    drop(spark, f"{at}/long", f"{at}/groups")
+    rows = rows.alias("p").join(again.alias("a"), F.expr("p.page_id <=> a.page_id and p.digest = a.digest"), "left")
+    return rows.select("p.page_id", "url", "html", "captured", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
 
 
 def write_runs(plan: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -159,27 +184,30 @@ def write_runs(plan: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Da
 
 def order(row: tuple) -> tuple:
     """URL key, timestamp, then page and place, so that equal captures have one order."""
-    return (row[0].encode(), row[1], -1 if row[2] is None else row[2], row[3], row[5])
+    return (row[0].encode(), row[1], row[2] is not None, row[2] or 0, row[3], row[5])
 
 
 def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     """The capture histories in global order: parts of the table follow each other."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+        slices: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                slices.setdefault(row[3], []).append((order(row), row))
-        rows = []
-        for _, row in LoserTree([slices[k] for k in sorted(slices)]):
-            rows.append(row)
-            if len(rows) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUN)], schema=_RUN)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUN)], schema=_RUN)
-
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            names, starts = np.unique(batch.column("run").to_numpy(zero_copy_only=False), return_index=True)
+            for name, a, b in zip(names, starts, [*starts[1:], batch.num_rows]):
+                slices.setdefault(name, []).append(batch.slice(a, b - a))
+
+        def rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for part in parts:
+                for at in range(0, part.num_rows, STREAMED):
+                    for row in zip(*(c.to_pylist() for c in part.slice(at, STREAMED).columns)):
+                        yield order(row), row
+
+        merged = (row for _, row in LoserTree([rows(slices[k]) for k in sorted(slices)]))
+        while some := list(itertools.islice(merged, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _RUN)], schema=_RUN)
+
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
     dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id", "run", "at").sortWithinPartitions("run", "url_key", "captured", "page_id", "at")
     dealt.mapInArrow(merge, RUN).write.parquet(f"{folder}/_history")
     return runs.sparkSession.read.schema(RUN).parquet(f"{folder}/_history")
