@@ -504,8 +504,23 @@ def test_line_dedup(docs, rows, options):
     assert got == want
 
 
+@pytest.mark.parametrize("options", [{}, {"shared_by": 2}, {"shared_by": 3, "shortest": 6}])
+def test_dealt_filters(docs, rows, monkeypatch, options):
+    """Filters dealt by segment, with few lines in each: the same lines go."""
+    monkeypatch.setattr(line_dedup, "SEGMENT_LINES", 20)
+    monkeypatch.setattr(line_dedup, "GATHERED", 25)
+    whole, dealt = (Counter(map(tuple, line_dedup.report(docs, most_bits=m, **options).collect())) for m in (1 << 28, 0))
+    assert whole == dealt and sum(r[2] for r in whole) > 0
+    found = line_dedup.often_seen(docs, 100, 10, 1).collect()
+    key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
+    seen = Counter(k for _, t, *_ in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    assert {xxhash.xxh3_64_intdigest(k.encode()) for k, n in seen.items() if n >= 10} <= {r.hash % 2**64 for r in found} and len(found) < len(seen) / 4
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.report(empty).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.report(empty, shared_by=1)
 
 
 def test_twice_seen_filter_has_no_misses():

@@ -11,8 +11,11 @@
    the tasks as a set of digests; beyond that suspects' digests meet the confirmed
    ones in a join, keyed by the digest of the text, and no document is left out.
 
-The filters' size follows the number of lines up to ``MOST_BITS``; above, more
-lines are suspects, which costs shuffle and changes no result.
+The filters' size follows the number of lines up to ``MOST_BITS``.  With more lines
+no task could hold whole filters, so step 1 is dealt: counted hashes, 8 bytes a line,
+shuffle by segment, each segment's task has the two filters of its own hashes, counts
+those that come a third time, and keeps hashes of enough documents; the filter of
+suspects is made of these alone.  The results are the same.
 
 Defined cases: null or empty text is one empty line; an empty key is never
 dropped; equal rows are documents of their own; a line repeated within one
@@ -39,6 +42,8 @@ SHARED_BY, SHORTEST = 10, 1
 #: Bits for each line, bits at most in a whole filter, and bits of a segment.
 BITS_PER_LINE, MOST_BITS, SEGMENT_BITS = 12, 1 << 28, 1 << 20
 PROBES = 4
+#: Lines of a segment where the filters are dealt, and hashes that a task gathers before it deals them out.
+SEGMENT_LINES, GATHERED = 2_000_000, 1_000_000
 #: Confirmed keys that go to the tasks as a set; about 100 bytes each there.
 SET_UP_TO = 500_000
 #: Keys that a task counts before it hands them on.
@@ -106,13 +111,75 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (t.as_py() or b"" for t in batch.column("text").cast(pa.binary()))
 
 
+def often_seen(texts: DataFrame, lines: int, shared_by: int, shortest: int) -> DataFrame:
+    """(hash) of line keys that about ``shared_by`` rows of ``texts`` (text) have: none is missed, few are too many."""
+    segments, enough = -(-lines // SEGMENT_LINES), min(3, shared_by)
+    dealt_schema = pa.schema([("segment", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            known, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            order = np.argsort(known % np.uint64(segments), kind="stable")
+            known, counts = known[order], counts[order].astype("<u4")
+            names, starts = np.unique(known % np.uint64(segments), return_index=True)
+            parts = list(zip(names.tolist(), starts, [*starts[1:], len(known)]))
+            return pa.RecordBatch.from_pylist([{"segment": s, "hashes": known[a:b].tobytes(), "counts": counts[a:b].tobytes()} for s, a, b in parts], schema=dealt_schema)
+
+        for batch in batches:
+            for text in _texts(batch):
+                waiting.append(_hashes(list(_candidates(text, shortest))))
+                n += len(waiting[-1])
+                if n > GATHERED:
+                    yield dealt()
+                    waiting, n = [], 0
+        if n:
+            yield dealt()
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, often = None, None, {}
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.array([h for h, n in often.items() if n >= shared_by], np.uint64).view(np.int64))], ["hash"])
+
+        for batch in batches:
+            for s, hashes, counts in zip(*(batch.column(k) for k in range(3))):
+                if s.as_py() != at:
+                    if at is not None:
+                        yield found()
+                    at, often = s.as_py(), {}
+                    held = SeenTwice(-(-SEGMENT_LINES * BITS_PER_LINE // SEGMENT_BITS))
+                hashes, counts = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+                # Hashes of a segment leave one remainder: the quotients are what tells them apart.
+                bits = held.once.places(hashes // np.uint64(segments))
+                again = held.once.has(bits)
+                so_far = counts + np.where(again & held.twice.has(bits), 2, again)
+                held.twice.add(bits[so_far > 1])
+                held.once.add(bits)
+                put = so_far >= enough
+                for h, n, total in zip(hashes[put].tolist(), counts[put].tolist(), so_far[put].tolist()):
+                    often[h] = often[h] + n if h in often else total
+        if at is not None:
+            yield found()
+
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments)
+    parts = texts.select("text").mapInArrow(deal, "segment int, hashes binary, counts binary")
+    return parts.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(tell, "hash long")
+
+
 def seen_twice(texts: DataFrame, segments: int, shortest: int = SHORTEST) -> DataFrame:
-    """(segment, once, twice) of all ``texts`` (text): compressed bitmaps, merged."""
+    """(segment, once, twice) of all ``texts`` (text), or of hashes (hash) that all count as
+    seen twice: compressed bitmaps, merged."""
     schema = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+    column = "hash" if "hash" in texts.columns else "text"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, n = SeenTwice(segments), [], 0
         for batch in batches:
+            if column == "hash":
+                held.add(np.repeat(np.asarray(batch.column(0)).view(np.uint64), 2))
+                continue
             for text in _texts(batch):
                 waiting.append(_hashes(list(_candidates(text, shortest))))
                 n += len(waiting[-1])
@@ -149,18 +216,26 @@ def seen_twice(texts: DataFrame, segments: int, shortest: int = SHORTEST) -> Dat
         if at is not None:
             yield row()
 
-    parts = texts.select("text").mapInArrow(build, _SEGMENT)
+    parts = texts.select(column).mapInArrow(build, _SEGMENT)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(merge, _SEGMENT)
 
 
 def shared_lines(texts: DataFrame, shared_by: int = SHARED_BY, shortest: int = SHORTEST, most_bits: int = MOST_BITS):
     """(keys that at least ``shared_by`` rows of ``texts`` (text) have, the suspects' filter)."""
+    if shared_by < 2:
+        raise ValueError("a line is shared by two documents at least")
     spark = texts.sparkSession
     breaks = F.expr("length(text) - length(replace(text, '\n', '')) + 1")
     lines = texts.agg(F.coalesce(F.sum(breaks), F.lit(0))).first()[0]
+    hashed = texts
+    if lines * BITS_PER_LINE > most_bits:
+        hashed = materialised(often_seen(texts, lines, shared_by, shortest), at := shared_path(spark, "often"))
+        lines = hashed.count()
     segments = max(1, -(-min(lines * BITS_PER_LINE, most_bits) // SEGMENT_BITS))
-    rows = seen_twice(texts, segments, shortest).select("segment", "twice").collect()  # at most most_bits / 8 bytes
+    rows = seen_twice(hashed, segments, shortest).select("segment", "twice").collect()  # at most most_bits / 8 bytes
+    if hashed is not texts:
+        drop(spark, at)
     sent = spark.sparkContext.broadcast([(s, bytes(t)) for s, t in rows])
     keys = pa.schema([("key", pa.binary()), ("n", pa.int64())])
 
