@@ -341,6 +341,22 @@ def test_filters_reach_the_scan(spark, sf):
     assert "PushedFilters: [Or(" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan and "TakeOrderedAndProject" in plan
 
 
+def test_load_from_a_database(spark, tmp_path):
+    """A table of an embedded database, read in parallel; the watermark is compared in the database."""
+    url = "jdbc:derby:memory:loads;create=true"
+    put(spark, ROWS, "seed")
+    spark.table("seed").write.jdbc(url, "T_SRC", mode="overwrite")
+    found = catalog.SourceCatalog(spark).jdbc("t", url, "T_SRC", partitionColumn='"id"', lowerBound="0", upperBound="11", numPartitions="3")
+    assert found.ping() and spark.table("t").rdd.getNumPartitions() == 3
+    plan = catalog.rows_after(spark, T, at(1))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(updated_at,2026-01-01" in plan.replace("*", "")
+    engine = Engine(spark, f"file://{tmp_path}")
+    assert engine.run_target(T), engine.state(T)
+    assert got(engine.read(T)) == sorted(ROWS)
+    spark.createDataFrame([(50, "s0", at(30), 5.0)], spark.table("seed").schema).write.jdbc(url, "T_SRC", mode="append")
+    assert engine.run_target(T) and engine.state(T)["last_success_rows"] == 1 and engine.table(T).rows() == 12
+
+
 def test_run_manager(spark, tmp_path):
     put(spark, ROWS)
     specs = (T, dataclasses.replace(T, name="u", group=3))

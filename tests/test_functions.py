@@ -86,6 +86,11 @@ def test_column_lists():
     assert sqltext.select_columns("select t.a, b\nfrom t") == ["a", "b"]
 
 
+def test_hints_and_placeholders():
+    assert sqltext.without_hints("INSERT /*+ PARALLEL(4) */ INTO x") == "INSERT INTO x" and sqltext.without_hints("SELECT /* kept */ 1") == "SELECT /* kept */ 1"
+    assert sqltext.placeholders("INSERT INTO x (a, b) VALUES (?, '?', ?) -- ?\n/* ? */") == 2 and sqltext.placeholders("SELECT 1") == 0
+
+
 def test_statements_keep_the_semicolon_of_a_block():
     assert sqltext.statement(" SELECT 1 ; \n") == "SELECT 1" and sqltext.statement("SELECT 1") == "SELECT 1"
     assert sqltext.statement("-- first\n/* DECLARE; */ begin x; END;\n").endswith("END;")

@@ -28,6 +28,16 @@ def insert_columns(insert: str) -> list[str] | None:
     return [x.strip() for x in found[1].split(",")] if found else None
 
 
+def without_hints(sql: str) -> str:
+    """Text without optimizer hints of other databases, which Spark does not parse."""
+    return re.sub(r"/\*\+.*?\*/\s*", "", sql, flags=re.S)
+
+
+def placeholders(sql: str) -> int:
+    """Question marks outside quotes and comments."""
+    return len(re.findall(r"\?", re.sub(r"(?s)'[^']*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", "", sql)))
+
+
 def first_word(text: str) -> str:
     """The first word of a statement, in capitals; comments before it do not count."""
     found = re.match(r"(?s)(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*(\w*)", text)

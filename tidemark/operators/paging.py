@@ -51,6 +51,10 @@ def pages(spark: SparkSession, spec: TargetSpec, wm: object, keys: tuple | None,
         return
     files.delete(spark, staging)
     numbered, place = _numbered(rows, seek.order(spec), f"{staging}/ranges")
+    nothing = typed(positional(spark.createDataFrame([], rows.schema), spec.insertColumns), spec), {"rows": 0, "wm": None, "keys": None}
+    if spark.read.schema(rows.schema).parquet(f"{staging}/ranges").isEmpty():
+        yield nothing
+        return
     page = _free("_page", rows.columns)
     numbered = numbered.withColumn(page, F.ceil(F.col(place) / F.lit(spec.pageSize)).cast("long")).drop(place)
     numbered.write.partitionBy(page).parquet(f"{staging}/pages")
@@ -64,7 +68,7 @@ def pages(spark: SparkSession, spec: TargetSpec, wm: object, keys: tuple | None,
         yield typed(positional(one, spec.insertColumns), spec), told
         if told["rows"] < spec.pageSize:
             return
-    yield typed(positional(spark.createDataFrame([], rows.schema), spec.insertColumns), spec), {"rows": 0, "wm": None, "keys": None}
+    yield nothing
 
 
 def page_trace(rows: DataFrame, spec: TargetSpec) -> DataFrame:

@@ -14,7 +14,8 @@ FETCH_ROWS, TIMEOUT_S = 10_000, 600
 
 
 class SourceCatalog:
-    """Tables by name.  A source is a DataFrame, Parquet, or a table of a database."""
+    """Tables by name.  A source is a DataFrame, Parquet, or a table of a database.  Names are
+    those of a session's views: engines with different sources of one name have sessions of their own."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.makers = spark, {}
@@ -29,9 +30,10 @@ class SourceCatalog:
 
     def jdbc(self, name: str, url: str, table: str, fetch_rows: int = FETCH_ROWS, timeout_s: int = TIMEOUT_S, **options: str) -> SourceCatalog:
         """Options such as partitionColumn, lowerBound, upperBound and numPartitions
-        make the read parallel; filters and columns are pushed to the database."""
-        reader = self.spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=fetch_rows, queryTimeout=timeout_s, **options)
-        return self.add(name, reader.load)
+        make the read parallel; filters and columns are pushed to the database.  Timestamps
+        are read without a zone, as watermarks are, so a watermark's filter needs no cast."""
+        held = {"url": url, "dbtable": table, "fetchsize": fetch_rows, "queryTimeout": timeout_s, "preferTimestampNTZ": "true"}
+        return self.add(name, self.spark.read.format("jdbc").options(**(held | options)).load)
 
     def ping(self) -> bool:
         return self.spark.sql("SELECT 1").first()[0] == 1
