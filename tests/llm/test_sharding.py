@@ -1,0 +1,122 @@
+"""Shards through a communication matrix, against draws and counts done by hand."""
+
+import math
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import entries, sharding
+
+
+def by_hand(u: float, whole: int, marked: int, drawn: int) -> int:
+    """The inversion's definition with exact probabilities: from near the mode upward, then downward."""
+    low, high = max(0, drawn - (whole - marked)), min(drawn, marked)
+    start = min(max((drawn + 1) * (marked + 1) // (whole + 2), low), high)
+    p = {k: Fraction(math.comb(marked, k) * math.comb(whole - marked, drawn - k), math.comb(whole, drawn)) for k in range(low, high + 1)}
+    so_far = Fraction(0)
+    for k in [*range(start, high + 1), *range(start - 1, low - 1, -1)]:
+        so_far += p[k]
+        if so_far > Fraction(u):
+            return k
+    return start
+
+
+def test_draws_are_those_of_exact_probabilities(spark):
+    cases = [(60, 25, 20), (10, 10, 4), (10, 0, 4), (7, 3, 7), (7, 3, 0), (0, 0, 0), (1, 1, 1), (1000, 5, 900), (300, 299, 150), (5000, 2500, 40)]
+    rows = [(w, m, d, (k + 0.5) / 60) for w, m, d in cases for k in range(60)]
+    made = spark.createDataFrame(rows, "whole long, marked long, drawn long, u double")
+    got = made.withColumn("k", sharding.hypergeometric(*map(F.col, ("u", "whole", "marked", "drawn")))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.k == by_hand(r.u, r.whole, r.marked, r.drawn), r
+
+
+def test_draws_follow_the_law(spark):
+    n, (whole, marked, drawn) = 40_000, (60, 25, 20)
+    found = spark.range(n).select(sharding.hypergeometric(sharding.uniform(5, F.col("id")), F.lit(whole), F.lit(marked), F.lit(drawn)).alias("k"))
+    found = {r.k: r["count"] for r in found.groupBy("k").count().collect()}
+    want = {k: n * math.comb(marked, k) * math.comb(whole - marked, drawn - k) / math.comb(whole, drawn) for k in range(drawn + 1)}
+    chi = sum((found.get(k, 0) - w) ** 2 / w for k, w in want.items() if w > 5)
+    assert chi < 32  # 12 degrees of freedom: exceeded once in a thousand
+
+
+def test_large_numbers(spark):
+    found = spark.range(300).select(sharding.hypergeometric(sharding.uniform(2, F.col("id")), *map(F.lit, (10**10, 3 * 10**9, 10**7))).alias("k"))
+    mean, deviation = found.agg(F.avg("k"), F.stddev("k")).first()
+    assert abs(mean - 3_000_000) < 4 * 1449 / 300**0.5 and abs(deviation / 1449 - 1) < 0.2
+
+
+@pytest.mark.parametrize("lengths", [[5], [1, 1, 1], [100, 0, 3, 17, 250, 1, 90], list(range(200))])
+def test_matrix_has_the_runs_and_the_shards_sums(spark, lengths):
+    runs = spark.createDataFrame(list(enumerate(lengths)), "run long, n long")
+    got = {r.run: r.counts for r in sharding.matrix(runs, len(lengths), 8, 3).collect()}
+    assert {k: sum(v) for k, v in got.items()} == dict(enumerate(lengths)) and all(min(v) >= 0 for v in got.values())
+    total = sum(lengths)
+    assert [sum(v[s] for v in got.values()) for s in range(8)] == [total // 8 + (s < total % 8) for s in range(8)]
+
+
+def test_every_row_reaches_every_shard_and_slot_alike(spark):
+    """Over many seeds a row's shard and slot are uniform, whichever run it came from."""
+    rows, seen, at = spark.range(12, numPartitions=3).withColumnRenamed("id", "k"), Counter(), Counter()
+    for seed in range(40):
+        for r in sharding.shuffled(rows, 3, seed).collect():
+            seen[r.k, r.shard] += 1
+            at[r.slot] += r.k < 4
+    assert sum(seen.values()) == 480
+    assert sum((seen[k, s] - 40 / 3) ** 2 / (40 / 3) for k in range(12) for s in range(3)) < 60  # about 24 degrees of freedom
+    assert sum((at[s] - 40) ** 2 / 40 for s in range(4)) < 18
+
+
+def plain(rows):
+    return sorted(map(repr, rows))
+
+
+def test_all_rows_stay_as_they_are(spark, docs):
+    mine = docs.withColumn("shard", F.lit(99)).withColumn("slot", F.lit("old")).repartition(5)
+    got = sharding.shuffled(mine, 8, piece_rows=3)
+    assert plain(got.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).collect()) == plain(docs.collect())
+    slots = {}
+    for r in got.select("shard", "slot").collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    n = docs.count()
+    assert {s: len(v) for s, v in slots.items()} == {s: n // 8 + (s < n % 8) for s in range(8)}
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_repeated_and_few_rows_and_none(spark, empty):
+    same = spark.createDataFrame([(1, "x", "en", "s", 1)] * 500, empty.schema).repartition(4)
+    assert sorted(r["count"] for r in sharding.shuffled(same).groupBy("shard").count().collect()) == [62] * 4 + [63] * 4
+    assert sorted((r.shard, r.slot) for r in sharding.shuffled(same.limit(3)).collect()) == [(0, 0), (1, 0), (2, 0)]
+    assert sharding.shuffled(empty).count() == 0 and sharding.shuffled(empty).columns == [*empty.columns, "shard", "slot"]
+
+
+def test_reruns_agree_and_seeds_differ(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(6, "doc_id")
+    at = lambda seed: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shuffled(docs, seed=seed).select("doc_id", "shard", "slot").collect())
+    assert at(1) == at(1) != at(2)
+
+
+def test_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sharding.write_shards(docs, f"file://{tmp_path}/shards")
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={k}" for k in range(8)]
+    assert plain(got.select(*docs.columns).collect()) == plain(docs.collect())
+
+
+def test_query(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = entries.op11_sharding(spark, sf)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        text = (docs[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text) + 1, zlib.crc32(text), "rows", None)
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in counts.items())
