@@ -60,14 +60,14 @@ def test_matrix_has_the_runs_and_the_shards_sums(spark, lengths):
 
 def test_every_row_reaches_every_shard_and_slot_alike(spark):
     """Over many seeds a row's shard and slot are uniform, whichever run it came from."""
-    rows, seen, at = spark.range(12, numPartitions=3).withColumnRenamed("id", "k"), Counter(), Counter()
-    for seed in range(40):
+    rows, seen, at = spark.range(240, numPartitions=3).withColumnRenamed("id", "k"), Counter(), Counter()
+    for seed in range(6):
         for r in sharding.shuffled(rows, 3, seed).collect():
-            seen[r.k, r.shard] += 1
-            at[r.slot] += r.k < 4
-    assert sum(seen.values()) == 480
-    assert sum((seen[k, s] - 40 / 3) ** 2 / (40 / 3) for k in range(12) for s in range(3)) < 60  # about 24 degrees of freedom
-    assert sum((at[s] - 40) ** 2 / 40 for s in range(4)) < 18
+            seen[r.k % 12, r.shard] += 1
+            at[r.slot // 20] += r.k < 80
+    assert sum(seen.values()) == 1440
+    assert sum((seen[k, s] - 40) ** 2 / 40 for k in range(12) for s in range(3)) < 51  # about 24 degrees of freedom
+    assert sum((at[s] - 120) ** 2 / 120 for s in range(4)) < 16
 
 
 def plain(rows):

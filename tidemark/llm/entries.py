@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, line_dedup, media, mixing, quality, sharding, simhash, token_files, url_filter, warc
+from tidemark.llm import decontaminate, divergence, language, line_dedup, media, mixing, quality, sharding, simhash, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
     "op11_sharding": op11_sharding,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLE_SQL = {
@@ -154,5 +159,34 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM r
+""",
+    "op12_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.n, 0)::HUGEINT AS n FROM g JOIN kept k USING (lang) LEFT JOIN counted x USING (lang, source, term)
+), p AS (
+  SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER s + 5 * count(*) OVER s) AS p,
+    1 + 1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER s) AS q
+  FROM c WINDOW s AS (PARTITION BY lang, source)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(max(f.value), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+QUALIFY part = 'pair' OR rank <= 50
 """,
 }
