@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, divergence, language, line_dedup, media, mixing, quality, sharding, simhash, token_files, url_filter, warc
+from tidemark.llm import decontaminate, divergence, language, line_dedup, media, mixing, quality, sharding, simhash, token_alignment, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
@@ -82,6 +88,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_sharding": op11_sharding,
     "op12_divergence": op12_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
