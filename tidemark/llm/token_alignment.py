@@ -46,11 +46,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.storage import drop, materialised, shared_path
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: A chunk's segments, and so the place of one in it, stay below this.
 MOST_SEGMENTS = 1 << 26
 #: Characters of segments that a tokenizer gets in one call; segments whose pairs are expanded at a time.
 CALL, SLICE = 1 << 16, 1 << 19
+#: Aligned segments that a task gathers before it sends them to their chunks.
+HELD = 400_000
 #: Links of a group beyond which its ids are counted before they are paired.
 LARGE = 1 << 12
 _ID = 32
@@ -263,11 +265,26 @@ def _chunker(path_a: str, path_b: str, chunk: int, kind: pa.DataType):
 
 
 def _aligned(path_a: str, path_b: str):
-    """(place, segment), equal segments behind each other, to (chunk, code, tokens): each different one is aligned once."""
-    schema = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("tokens", pa.binary())])
+    """(place, segment), equal segments behind each other, to (chunk, entries): each different
+    one is aligned once; what a task has for a chunk travels as one packed value."""
+    schema = pa.schema([("chunk", pa.int64()), ("entries", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, None
+        last, tokens, places, held = None, None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            place, aligned = np.concatenate(places), pa.concat_arrays(held)
+            order = np.argsort(place)
+            place, aligned = place[order], aligned.take(pa.array(order))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(aligned), -4)).astype("<i4") // 4
+            data = np.frombuffer(b"".join(x.as_buffer() for x in aligned if x.is_valid), "<i4")
+            chunk, code, ends = place // MOST_SEGMENTS, (place % MOST_SEGMENTS).astype("<i4"), np.cumsum(np.maximum(sizes, 0))
+            begins = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist()
+            for a, b in zip(begins, [*begins[1:], len(chunk)]):
+                own = data[ends[a] - max(sizes[a], 0) : ends[b - 1]]
+                packed = _packed(np.concatenate([np.array([b - a], "<i4"), np.diff(code[a:b], prepend=0), sizes[a:b], own]).astype("<i4"))
+                yield _table(schema, 1, {"chunk": chunk[a : a + 1], "entries": [packed]}).to_batches()[0]
+
         for batch in batches:
             runs = batch.column(1).dictionary_encode()
             segments = runs.dictionary.to_pylist()
@@ -277,8 +294,13 @@ def _aligned(path_a: str, path_b: str):
                 own = pa.concat_arrays([tokens, own])
             if segments:
                 last, tokens = segments[-1], own.slice(len(own) - 1)
-            place = np.asarray(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(place // MOST_SEGMENTS), pa.array((place % MOST_SEGMENTS).astype(np.int32)), own.take(runs.indices)], schema=schema)
+            places.append(np.asarray(batch.column(0)))
+            held.append(own.take(runs.indices))
+            if sum(map(len, places)) >= HELD:
+                yield from flush()
+                places, held = [], []
+        if places:
+            yield from flush()
 
     return run
 
@@ -286,32 +308,39 @@ def _aligned(path_a: str, path_b: str):
 class Entries:
     """A chunk's segments by code: their tokens and what follows from these."""
 
-    def __init__(self, table: pa.Table):
-        codes = np.asarray(table["code"]).astype(np.int64)
-        order = pa.array(np.argsort(codes))
-        tokens = table["tokens"].combine_chunks().take(order) if len(codes) else pa.array([], pa.binary())
-        self.n = len(codes)
-        self.bad = np.asarray(tokens.is_null())
-        sizes = np.asarray(pc.fill_null(pc.binary_length(tokens), 0)).astype(np.int64) // 4
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray):
+        """``sizes`` has the tokens of each, -1 where there is no alignment."""
+        order, self.n = np.argsort(codes), len(codes)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        starts, sizes = starts[order], sizes[order]
+        self.bad, sizes = sizes < 0, np.maximum(sizes, 0)
+        self.tokens = tokens[_ranges(starts, sizes)]
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.tokens = np.frombuffer(b"".join(x for x in tokens.to_pylist() if x), "<i4").astype(np.int64)
         self.is_b = self.tokens & 1
         # A group begins at an A token behind a B token, or at a segment's begin.
-        self.first = np.zeros(len(self.tokens) + 1, bool)
-        self.first[1:-1] = (self.is_b[:-1] == 1) & (self.is_b[1:] == 0)
-        self.first[self.starts] = True
-        self.first = self.first[:-1]
-        begins = np.flatnonzero(self.first)
-        self.group_a = np.add.reduceat(1 - self.is_b, begins) if len(begins) else begins
-        self.group_b = np.add.reduceat(self.is_b, begins) if len(begins) else begins
-        self.begins = begins
-        self.groups = self._sum(self.first)
+        first = np.zeros(len(self.tokens) + 1, bool)
+        first[1:-1] = (self.is_b[:-1] == 1) & (self.is_b[1:] == 0)
+        first[self.starts] = True
+        self.begins = np.flatnonzero(first[:-1])
+        self.groups = self._sum(first[:-1])
+        long = np.append(self.begins, len(self.tokens))
+        self.group_b = np.add.reduceat(self.is_b, self.begins, dtype=np.int64) if len(self.begins) else self.begins
+        self.group_a = np.diff(long) - self.group_b
         self.n_b = self._sum(self.is_b)
         self.n_a = sizes - self.n_b
-        links = np.zeros(len(self.tokens), np.int64)
-        links[begins] = self.group_a * self.group_b
-        self.links = self._sum(links)
+        # Groups lie one behind the other, as segments do.
+        links, ends = np.concatenate([[0], np.cumsum(self.group_a * self.group_b)]), np.cumsum(self.groups)
+        self.links = links[ends] - links[ends - self.groups]
+
+    @classmethod
+    def unpacked(cls, packed: list[bytes]) -> Entries:
+        parts = [(np.zeros(0, "<i4"),) * 3]
+        for x in packed:
+            values = _unpacked(x, "<i4")
+            n = int(values[0])
+            parts.append((np.cumsum(values[1 : n + 1]), values[n + 1 : 2 * n + 1], values[2 * n + 1 :]))
+        return cls(*map(np.concatenate, zip(*parts)))
 
     def _sum(self, values: np.ndarray) -> np.ndarray:
         """Sums of the tokens' values over each segment."""
@@ -321,9 +350,9 @@ class Entries:
     def texts(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each segment."""
         before = np.concatenate([[0], self.is_b[:-1]]) if len(self.is_b) else self.is_b
-        between = np.where(before == self.is_b, 1, np.where(self.is_b == 1, 2, 3))
+        between = np.where(before == self.is_b, 1, np.where(self.is_b == 1, 2, 3)).astype(np.int64)
         between[self.starts[self.starts < self.ends]] = 0
-        keys = (self.tokens >> 1) * 4 + between
+        keys = (self.tokens >> 1).astype(np.int64) * 4 + between
         marks = (b"", b",", b"|", b";")
         shown = {k: marks[k & 3] + str(k >> 2).encode() for k in np.unique(keys).tolist()}
         parts = [shown[k] for k in keys.tolist()]
@@ -338,14 +367,14 @@ class Entries:
         n = a * b
         group = np.repeat(np.arange(len(small)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        left = self.tokens[begin[group] + place // b[group]]
-        right = self.tokens[begin[group] + a[group] + place % b[group]]
+        left = self.tokens[begin[group] + place // b[group]].astype(np.int64)
+        right = self.tokens[begin[group] + a[group] + place % b[group]].astype(np.int64)
         pair, links, owner = [((left >> 1) << _ID) + (right >> 1)], [np.ones(len(left), np.int64)], [of[small][group]]
         for g in np.flatnonzero(many):
             at, mid = self.begins[g], self.begins[g] + self.group_a[g]
             ids_a, times_a = np.unique(self.tokens[at:mid] >> 1, return_counts=True)
             ids_b, times_b = np.unique(self.tokens[mid : mid + self.group_b[g]] >> 1, return_counts=True)
-            pair.append(((ids_a[:, None] << _ID) + ids_b).ravel())
+            pair.append(((ids_a[:, None].astype(np.int64) << _ID) + ids_b).ravel())
             links.append((times_a[:, None] * times_b).ravel())
             owner.append(np.full(len(pair[-1]), of[g]))
         pair, links, owner = map(np.concatenate, (pair, links, owner))
@@ -393,7 +422,7 @@ def _document_pairs(entries: Entries, sizes: np.ndarray, codes: np.ndarray):
 
 def _documents(chunk: pa.Table, words: pa.Table) -> tuple[Entries, np.ndarray, np.ndarray]:
     """A chunk's segments, and its documents' sizes and codes; documents with a segment that does not align have none."""
-    entries = Entries(words)
+    entries = Entries.unpacked(words["entries"].to_pylist())
     sizes, codes = _unpacked(chunk["sizes"][0].as_py(), "<i4").astype(np.int64), _unpacked(chunk["codes"][0].as_py(), "<i4")
     if entries.bad.any():
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -452,7 +481,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk: int, at: str) -> t
     made = docs.select("doc_id", "text").mapInArrow(_chunker(path_a, path_b, chunk, kind), f"chunk long, place long, segment string, ids array<{name}>, sizes binary, codes binary")
     made = materialised(made, f"{at}/chunks")
     words = made.where("segment is not null").select("place", "segment")
-    aligned = words.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligned(path_a, path_b), "chunk long, code int, tokens binary")
+    aligned = words.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligned(path_a, path_b), "chunk long, entries binary")
     return made.where("segment is null").select("chunk", "ids", "sizes", "codes"), aligned, name, kind
 
 
