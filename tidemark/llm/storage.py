@@ -33,9 +33,9 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{tag}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, path: str) -> DataFrame:
+def materialised(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write once, read back: cuts the lineage, and every later job sees the same rows."""
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,7 +52,7 @@ MOST_SEGMENTS = 1 << 26
 #: Characters of segments that a tokenizer gets in one call; segments whose pairs are expanded at a time.
 CALL, SLICE = 1 << 16, 1 << 19
 #: Aligned segments that a task gathers before it sends them to their chunks.
-HELD = 400_000
+HELD = 200_000
 #: Links of a group beyond which its ids are counted before they are paired.
 LARGE = 1 << 12
 _ID = 32
@@ -479,7 +479,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk: int, at: str) -> t
     id_type = docs.schema["doc_id"].dataType
     name, kind = id_type.simpleString(), to_arrow_type(id_type)
     made = docs.select("doc_id", "text").mapInArrow(_chunker(path_a, path_b, chunk, kind), f"chunk long, place long, segment string, ids array<{name}>, sizes binary, codes binary")
-    made = materialised(made, f"{at}/chunks")
+    made = materialised(made, f"{at}/chunks", compression="zstd")
     words = made.where("segment is not null").select("place", "segment")
     aligned = words.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligned(path_a, path_b), "chunk long, entries binary")
     return made.where("segment is null").select("chunk", "ids", "sizes", "codes"), aligned, name, kind
@@ -493,7 +493,7 @@ def report(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK) -> Dat
     composed = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
         _composer(kind), f"chunk long, ids array<{name}>, {binary}, digests array<string>, number int, pair long, docs long"
     )
-    composed = materialised(composed, f"{at}/composed")
+    composed = materialised(composed, f"{at}/composed", compression="zstd")
     drop(spark, f"{at}/chunks")
     pairs = composed.where("pair is not null").select("chunk", "number", "pair", "docs")
     counted = pairs.groupBy("pair").agg(F.sum("docs").alias("n"))
