@@ -16,7 +16,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.render import AUTH_WORDS
+from tidemark.functions.statements import resolved
 from tidemark.functions.watermark import effective
+from tidemark.operators.merge import repeatable
 from tidemark.operators.paging import pages
 from tidemark.operators.staging import latest_per_key
 from tidemark.plans.metrics import Totals
@@ -112,6 +114,7 @@ class Engine:
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", spec.name)
         try:
             last = self._store(spec, lambda s: st.begin(s, spec, run_id, began))
+            spec = resolved(spec, self.spark)
             stored = st.read_watermark(last, spec)
             tuple_resume = spec.resume == "tuple" and last.get("last_keys") and stored is not None
             wm = stored if tuple_resume else effective(spec, stored)
@@ -138,29 +141,35 @@ class Engine:
         table, rows, n = self.table(spec), 0, 0
         staging = f"{self.warehouse}/_staging/{spec.name}"
         began = time.monotonic()
-        for staged, found in self._fetched(spec, run_id, wm, keys, staging):
+        # As many rows as the target has: the whole load costs no more than a few times its rows.
+        together = spec.publish == "grow" and spec.dedupe != "latest" and repeatable(spec.merge, spec.joined_by)
+        least = (lambda: table.rows()) if together else (lambda: 1)
+        for staged, found in self._fetched(spec, run_id, wm, keys, staging, least):
             if not found["rows"]:
                 break
-            rows, n, fetched = rows + found["rows"], n + 1, time.monotonic()
+            rows, fetched = rows + found["rows"], time.monotonic()
             mark = max(found["wm"], stored) if spec.monotonic and stored is not None else found["wm"]
             # The merge itself fails for null and repeated keys.
-            page = latest_per_key(staged, spec.keyColumns, (spec.watermarkColumn,)) if spec.dedupe == "latest" else staged
+            page = latest_per_key(staged, spec.joined_by, (spec.watermarkColumn,)) if spec.dedupe == "latest" else staged
             after = st.progress(table.manifest()["state"], spec, mark, rows, found["keys"] if spec.resume == "tuple" else None)
-            did = table.merge(page, spec.keyColumns, spec.merge, state=after, page_rows=found["rows"])
+            did = table.merge(page, spec.joined_by, spec.merge, state=after, page_rows=found["rows"], fixed=spec.schema == "fixed", pages=found["page"])
             merged, ended = did["update"] + did["insert"] + did["delete"], time.monotonic()
-            self._tell(spec, run_id, "page", page=n, rows=found["rows"], merged=merged, page_seconds=fetched - began, merge_seconds=ended - fetched)
+            # Pages that were merged together share what that took.
+            for k, own in enumerate(found["pages"], 1):
+                n, of = n + 1, len(found["pages"])
+                self._tell(spec, run_id, "page", page=n, rows=own, merged=merged if k == of else 0, page_seconds=(fetched - began) / of, merge_seconds=(ended - fetched) / of)
             began = ended
             if stop_after is not None and n >= stop_after:
                 raise RuntimeError(f"stopped after page {n}")
         return rows
 
-    def _fetched(self, spec: TargetSpec, run_id: str, wm, keys, staging: str):
+    def _fetched(self, spec: TargetSpec, run_id: str, wm, keys, staging: str, least: Callable[[], int]):
         """Pages; a failure that looks like one of authentication is tried again from the last page's end."""
         loop, failed = None, 0
         while True:
             try:
                 with self._limited(spec):
-                    loop = loop or pages(self.spark, spec, wm, keys, staging)
+                    loop = loop or pages(self.spark, spec, wm, keys, staging, least)
                     got = next(loop, None)
             except Exception as error:
                 failed += 1

@@ -9,7 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.sqltext import select_columns
+from tidemark.functions import statements
+from tidemark.functions.sqltext import first_word, select_columns
 from tidemark.functions.watermark import parse
 from tidemark.sources.catalog import source
 from tidemark.spec import MARKER, NUMBER, TIMESTAMP, TargetSpec
@@ -27,10 +28,11 @@ def repeated_names(config: DataFrame) -> DataFrame:
 
 
 def findings(specs: list[TargetSpec]) -> list[Finding]:
-    """From the text alone."""
+    """From the text alone.  Where there is a session, its parser reads the queries; INSERT and
+    MERGE texts need one."""
     found = [Finding(None, f"duplicate target name '{n}'") for n, k in Counter(s.name for s in specs).items() if k > 1]
     for s in specs:
-        found += [Finding(s.name, m) for m in [*_ranges(s), *_query(s), *_merge(s)]]
+        found += [Finding(s.name, m) for m in [*_ranges(s), *_query(s), *_insert(s), *_merge(s)]]
     return found
 
 
@@ -59,7 +61,7 @@ def _query(s: TargetSpec):
         yield f"sourceQuery must contain '{MARKER}'"
     elif s.sourceQuery.count(MARKER) > 1:
         yield f"sourceQuery must contain '{MARKER}' once"
-    names = select_columns(s.sourceQuery)
+    names = _selected(s)
     if names is None:
         yield "could not parse SELECT column list"
         return
@@ -73,7 +75,56 @@ def _query(s: TargetSpec):
         yield f"insertColumns count {len(s.insertColumns)} does not match sourceQuery SELECT count {len(names)}"
 
 
+def _selected(s: TargetSpec) -> list[str] | None:
+    """Names that the source query selects, or None."""
+    if SparkSession.getActiveSession() is None or s.sourceQuery.count(MARKER) != 1:
+        return select_columns(s.sourceQuery)
+    try:
+        return statements.select_list(s.sourceQuery)
+    except statements.StatementError:
+        return None
+
+
+def _insert(s: TargetSpec):
+    if not s.targetInsert:
+        return
+    if first_word(s.targetInsert) != "INSERT":
+        yield "targetInsert must be an INSERT statement"
+        return
+    try:
+        found = statements.insert(s.targetInsert)
+    except statements.StatementError as e:
+        yield f"could not parse column list from targetInsert: {e}"
+        return
+    if found.table.upper() != s.stagingTable.upper():
+        yield f"targetInsert should reference stagingTable '{s.stagingTable}'"
+    if not found.columns:
+        yield "could not parse column list from targetInsert"
+        return
+    if found.placeholders != len(found.columns):
+        yield f"targetInsert placeholder count ({found.placeholders}) does not match column list size ({len(found.columns)})"
+    names = _selected(s)
+    if names and "*" not in names and len(names) != len(found.columns):
+        yield f"targetInsert column count ({len(found.columns)}) does not match sourceQuery SELECT count ({len(names)})"
+
+
+def _merge_text(s: TargetSpec):
+    if first_word(s.targetMerge) != "MERGE":
+        yield "targetMerge must be a MERGE statement"
+        return
+    try:
+        found = statements.merge(s.targetMerge)
+    except statements.StatementError as e:
+        yield f"targetMerge: {e}"
+        return
+    for kind, want, got in (("stagingTable", s.stagingTable, found.staging), ("targetTable", s.targetTable, found.target)):
+        if want.upper() != got.upper():
+            yield f"targetMerge should reference {kind} '{want}'"
+
+
 def _merge(s: TargetSpec):
+    if s.targetMerge:
+        yield from _merge_text(s)
     if not s.merge:
         yield "merge must have at least one clause"
     for c in s.merge:
@@ -85,6 +136,10 @@ def _merge(s: TargetSpec):
         yield "resume must be 'watermark' or 'tuple'"
     if s.dedupe not in (None, "latest"):
         yield "dedupe must be null or 'latest'"
+    if s.publish not in ("grow", "page"):
+        yield "publish must be 'grow' or 'page'"
+    if s.schema not in ("evolve", "fixed"):
+        yield "schema must be 'evolve' or 'fixed'"
 
 
 def analysed(spark: SparkSession, specs: list[TargetSpec]) -> list[Finding]:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import dataclasses
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import render, sqltext, watermark
+from tidemark.functions import render, sqltext, statements, watermark
 from tidemark.operators import merge as mg
 from tidemark.operators import paging, staging
 from tidemark.plans import metrics, status, validate
@@ -16,7 +17,7 @@ from tidemark.plans.pipeline import Engine, is_auth_error  # noqa: F401
 from tidemark.plans.runner import RunManager
 from tidemark.sources import catalog, files, introspect, migrate
 from tidemark.sources import state as st
-from tidemark.spec import NUMBER, Clause, PipelineSpec, TargetSpec
+from tidemark.spec import NUMBER, Clause, PipelineSpec, TargetSpec, load
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 T0 = datetime(2026, 4, 17, 10, 0, 0)
@@ -251,6 +252,30 @@ def merge_affected_counts(spark, sf_dir):
     return mg.affected(*_orders_merge(spark, sf_dir), ["o_orderkey"])
 
 
+def _by_text(text: str, target: DataFrame, page: DataFrame) -> DataFrame:
+    found = statements.merge(text, target.sparkSession)
+    return mg.apply_merge(target, page, found.keys, found.clauses)
+
+
+@register("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def merge_text_upsert(spark, sf_dir):
+    """A configured MERGE text, as it stands."""
+    text = """MERGE INTO T_ORDERS tgt USING STG_ORDERS src ON (tgt.O_ORDERKEY = src.O_ORDERKEY)
+      WHEN MATCHED THEN UPDATE SET tgt.O_CUSTKEY = src.O_CUSTKEY, tgt.O_TOTALPRICE = src.O_TOTALPRICE
+      WHEN NOT MATCHED THEN INSERT (O_ORDERKEY, O_CUSTKEY, O_TOTALPRICE) VALUES (src.O_ORDERKEY, src.O_CUSTKEY, src.O_TOTALPRICE)"""
+    return _by_text(text, *_orders_merge(spark, sf_dir))
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN -c_acctbal ELSE -c_acctbal + c_acctbal END ELSE c_acctbal END AS c_acctbal FROM customer WHERE (c_custkey % 3 <> 0 OR (c_custkey % 2 = 0 AND -c_acctbal > 0)) AND NOT (c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AND c_acctbal > 5000)")
+def merge_text_conditional(spark, sf_dir):
+    """Conditions, a delete, expressions over both sides, other table names, and an insert whose values name no table."""
+    text = """MERGE INTO crm.customers t USING staging AS s ON s.c_custkey = t.c_custkey
+      WHEN MATCHED AND t.c_acctbal > 5000 THEN DELETE
+      WHEN MATCHED THEN UPDATE SET c_name = upper(s.c_name), t.c_acctbal = s.c_acctbal + t.c_acctbal
+      WHEN NOT MATCHED AND c_acctbal > 0 THEN INSERT (c_custkey, c_name, c_acctbal) VALUES (c_custkey, upper(c_name), s.c_acctbal)"""
+    return _by_text(text, *_customers(spark, sf_dir))
+
+
 @register("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
 def merge_idempotent_rerun(spark, sf_dir):
     target, page = _orders_merge(spark, sf_dir)
@@ -296,6 +321,37 @@ def e2e_incremental_two_runs(spark, sf_dir):
     return engine.read(EVENTS)
 
 
+_AS_TEXT = """{"targets": [{
+  "name": "orders_text", "stagingTable": "STG_ORDERS", "targetTable": "T_ORDERS", "watermarkColumn": "O_ORDERDATE", "watermarkType": "TIMESTAMP",
+  "keyColumns": ["O_ORDERKEY"], "initialWm": "1970-01-01 00:00:00", "pageSize": 20000, "lookbackMinutes": 60, "group": 1,
+  "sourceQuery": "SELECT O_ORDERKEY, O_CUSTKEY, O_TOTALPRICE, O_ORDERDATE FROM orders WHERE /*WM*/",
+  "targetInsert": "INSERT /*+ APPEND_VALUES */ INTO STG_ORDERS (O_ORDERKEY, CUSTOMER, O_TOTALPRICE, O_ORDERDATE) VALUES (?, ?, ?, ?)",
+  "targetMerge": "MERGE INTO T_ORDERS tgt USING STG_ORDERS src ON (tgt.O_ORDERKEY = src.O_ORDERKEY) WHEN MATCHED THEN UPDATE SET tgt.BUYER = src.CUSTOMER, tgt.PRICE = src.O_TOTALPRICE, tgt.ORDERED = src.O_ORDERDATE WHEN NOT MATCHED THEN INSERT (O_ORDERKEY, BUYER, PRICE, ORDERED) VALUES (src.O_ORDERKEY, src.CUSTOMER, src.O_TOTALPRICE, src.O_ORDERDATE)",
+  "nlsSettings": {"NLS_DATE_FORMAT": "YYYY-MM-DD", "NLS_TIMESTAMP_FORMAT": "YYYY-MM-DD HH24:MI:SS.FF", "NLS_NUMERIC_CHARACTERS": ".,"}
+}]}"""
+
+
+@register("SELECT o_orderkey AS O_ORDERKEY, o_custkey AS BUYER, o_totalprice AS PRICE, o_orderdate AS ORDERED FROM orders")
+def e2e_config_as_text(spark, sf_dir):
+    """A configuration with INSERT and MERGE texts and session settings, loaded twice in pages."""
+    sources(spark, sf_dir, "orders")
+    (spec,), engine = load(_AS_TEXT).targets, Engine(spark, files.fresh(spark, "text"))
+    _must(not validate.findings([spec]) and engine.run_target(spec) and engine.run_target(spec))
+    return engine.read(spec)
+
+
+@register("""SELECT event_id, ts, user_id, event_type, value::DOUBLE AS value, CASE WHEN ts > (SELECT date_trunc('second', max(ts)) - INTERVAL 60 MINUTE FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00') THEN props END AS props FROM events""")
+def e2e_schema_evolution(spark, sf_dir):
+    """A source that gains a column and wider types between two runs; what was loaded before has no value for it."""
+    engine, found, whole = Engine(spark, files.fresh(spark, "evolution")), sources(spark, sf_dir, "events"), table(spark, sf_dir, "events")
+    narrow = whole.where("ts <= TIMESTAMP_NTZ '2024-01-15 12:00:00'").withColumn("event_id", F.col("event_id").cast("int"))
+    found.add("events", lambda: narrow)
+    _must(engine.run_target(EVENTS))
+    found.add("events", lambda: whole)
+    _must(engine.run_target(dataclasses.replace(EVENTS, sourceQuery="SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE /*WM*/")))
+    return engine.read(EVENTS)
+
+
 def _crashed(spark, sf_dir, resume: str):
     """Stop after two pages of 1000, then run again in large pages."""
     sources(spark, sf_dir, "orders")
@@ -574,9 +630,7 @@ def migrations_pending(spark, sf_dir):
 
 @register(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {t}" for t in TABLES))
 def target_row_counts(spark, sf_dir):
-    from tidemark.sources.snapshot import union_all
-
-    return union_all([table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("name"), "row_count") for t in TABLES])
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("name"), "row_count") for t in TABLES])
 
 
 _LOADS = {"orders": 1000, "orders_large": 2500}

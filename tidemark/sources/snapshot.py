@@ -14,19 +14,21 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.merge import merged, quoted
+from tidemark.operators.evolution import evolved, first_schema, takes_all
+from tidemark.operators.merge import merged, merged_in_place, merged_pages, quoted
 from tidemark.sources import files
 from tidemark.spec import UPSERT, Clause
 
 BUCKETS = 16
 #: Rows that a bucket is made for; at ``GROWN`` times that on average there are too few buckets.
 BUCKET_ROWS, GROWN = 2_000_000, 4
+#: A page of up to so many rows and bytes of files, and a target of so many times its rows: the page goes to the target.
+SMALL_ROWS, SMALL_BYTES, SMALL_SHARE = 200_000, 16 << 20, 4
 KEPT = 3
 
 
@@ -61,17 +63,23 @@ class SnapshotTable:
         """Row count from the manifest; no job."""
         return self.manifest()["rows"]
 
-    def read(self, manifest: dict | None = None, only: Sequence[int] | None = None, empty_as: T.StructType | None = None) -> DataFrame:
+    def read(self, manifest: dict | None = None, only: Sequence[int] | None = None, schema: T.StructType | None = None) -> DataFrame:
+        """The rows of a version; with a later ``schema`` its new columns are null and its wider types are read as such."""
         manifest = manifest or self.manifest()
-        schema = T.StructType.fromJson(manifest["schema"]) if manifest["schema"] else empty_as
+        schema = schema or T.StructType.fromJson(manifest["schema"])
         paths = [p for k, p in sorted(manifest["buckets"].items()) if only is None or int(k) in only]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def merge(self, page: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT, schema: T.StructType | None = None, state: dict | None = None, page_rows: int | None = None) -> dict:
+    def merge(self, page: DataFrame, keys: Sequence[str], clauses: Sequence[Clause] = UPSERT, schema: T.StructType | None = None, state: dict | None = None, page_rows: int | None = None, fixed: bool = False, pages: str | None = None) -> dict:
         """Merge a staged page and publish it together with ``state``; returns the counts.
-        ``page_rows``, where it is known, saves a pass over the page."""
+
+        ``page_rows``, where it is known, saves a pass over the page.  New columns and wider types of
+        the page become the target's, or fail the merge if its columns are ``fixed``.  Several pages,
+        whose numbers the column ``pages`` has, merge at once as if one after the other; their clauses
+        must be ``repeatable``.  A page that is small beside the target is sent to the target's rows,
+        which then are not shuffled."""
         manifest = self.manifest()
         page_rows = page.count() if page_rows is None else page_rows
         had, whole = manifest["n_buckets"], manifest["rows"] + page_rows
@@ -84,15 +92,27 @@ class SnapshotTable:
             touched = None
         else:
             touched = {r[0] for r in page.select(bucket(map(quoted, keys))).distinct().collect()}  # at most ``n`` numbers
-        schema = T.StructType.fromJson(manifest["schema"]) if manifest["schema"] else (schema or page.schema)
-        target = self.read(manifest, touched, empty_as=schema)
-        rows = merged(target, page, keys, clauses).withColumn("bucket", bucket([F.col("tgt").getField(k) for k in keys]))
-        # The merge's shuffle is by keys, not by bucket.  A rebalance brings a bucket's rows together
-        # for few files, and splits what is too much for one task.  What was done is counted
-        # behind it, in the tasks that write, whose counts are taken once however often they run.
+        rows = page.drop(pages) if pages else page
+        if not manifest["schema"]:
+            schema = schema or first_schema(rows, clauses, keys)
+        else:
+            schema = T.StructType.fromJson(manifest["schema"])
+            schema = evolved(schema, rows.schema, fixed) if takes_all(clauses) else schema
+        target = self.read(manifest, touched, schema)
+        where, name = bucket([F.col("tgt").getField(k) for k in keys]), self._bucket_column(schema)
+        # A shuffle by keys is not one by bucket.  A rebalance brings a bucket's rows together
+        # for few files, and splits what is too much for one task.
+        gathered = lambda rows: rows.withColumn("bucket", where).hint("rebalance", "bucket")
+        if n == had and self._is_small(page, page_rows, manifest["rows"]):
+            known, new = merged_in_place(target, page, keys, clauses, pages)
+            rows = known.withColumn("bucket", where)  # as they are read: bucket by bucket
+            rows = rows if new is None else rows.unionByName(gathered(new))
+        else:
+            rows = gathered(merged_pages(target, page, keys, clauses, pages) if pages else merged(target, page, keys, clauses))
+        # What was done is counted in the tasks that write, whose counts are taken once however often they run.
         seen, actions = Observation(), ("keep", "update", "insert", "delete")
-        rows = rows.hint("rebalance", "bucket").observe(seen, *[F.count_if(F.col("action") == a).alias(a) for a in actions])
-        name, folder = self._bucket_column(schema), f"{self.path}/data/{manifest['version'] + 1:010d}-{uuid.uuid4().hex[:12]}"
+        rows = rows.observe(seen, *[F.count_if(F.col("action") == a).alias(a) for a in actions])
+        folder = f"{self.path}/data/{manifest['version'] + 1:010d}-{uuid.uuid4().hex[:12]}"
         rows = rows.where("action != 'delete'").select("tgt.*", F.col("bucket").alias(name))
         rows.write.partitionBy(name).parquet(folder)
         did = dict(seen.get)
@@ -101,6 +121,13 @@ class SnapshotTable:
         self.publish(manifest, keys=list(keys), schema=schema.jsonValue(), n_buckets=n, rows=manifest["rows"] + did["insert"] - did["delete"], buckets=buckets, state=state if state is not None else manifest["state"])
         return did
 
+    @staticmethod
+    def _is_small(page: DataFrame, page_rows: int, rows: int) -> bool:
+        """Whether a page can be sent to every task: few rows, few bytes as Spark's statistics have them, and few beside the target."""
+        if page_rows > SMALL_ROWS or rows < SMALL_SHARE * page_rows:
+            return False
+        return int(str(page._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
     @staticmethod
     def _bucket_column(schema: T.StructType) -> str:
         name = "_bucket"
@@ -118,7 +145,3 @@ class SnapshotTable:
                 files.delete(self.spark, f"{self.path}/data/{name}")
         for name in found[:-kept]:
             files.delete(self.spark, f"{self.path}/manifests/{name}")
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

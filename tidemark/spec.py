@@ -39,6 +39,11 @@ class TargetSpec:
     stagingTable: str = ""
     insertColumns: tuple[str, ...] = ()
     merge: tuple[Clause, ...] = UPSERT
+    #: Columns that a merge joins by, where these are not the ``keyColumns`` of the pages.
+    mergeKeys: tuple[str, ...] = ()
+    #: Instead of ``insertColumns``, and of ``merge`` and ``mergeKeys``: INSERT and MERGE texts.
+    targetInsert: str = ""
+    targetMerge: str = ""
     pageSize: int | None = None
     lookbackMinutes: int | None = None
     group: int | None = None
@@ -54,6 +59,16 @@ class TargetSpec:
     dedupe: str | None = None
     #: Parts of the target by a hash of its keys, at least; a merge rewrites those that it touches.
     buckets: int = 16
+    #: What new and wider columns of the source do: "evolve" the target, or fail the run ("fixed").
+    schema: str = "evolve"
+
+    #: "grow": pages of plain upserts are merged together until they have as many rows as the
+    #: target, so a load's cost follows its rows; "page": each page is a merge and a version.
+    publish: str = "grow"
+
+    @property
+    def joined_by(self) -> tuple[str, ...]:
+        return self.mergeKeys or self.keyColumns
 
 
 @dataclass(frozen=True)
@@ -63,16 +78,23 @@ class PipelineSpec:
 
 _REQUIRED = [f.name for f in dataclasses.fields(TargetSpec) if f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING]
 _KNOWN = {f.name for f in dataclasses.fields(TargetSpec)}
+#: Fields of texts to the fields that they stand for; other names of fields.
+_TEXTS = {"targetInsert": ("insertColumns",), "targetMerge": ("merge", "mergeKeys")}
+_OTHER_NAMES = {"nlsSettings": "formats"}
 
 
 def target(data: dict) -> TargetSpec:
     """A target from decoded JSON; unknown and missing fields are errors."""
+    data = {_OTHER_NAMES.get(k, k): v for k, v in data.items()}
     if unknown := sorted(set(data) - _KNOWN):
         raise ValueError(f"unknown field {', '.join(unknown)}")
     if missing := [n for n in _REQUIRED if n not in data]:
         raise ValueError(f"missing field {', '.join(missing)}")
     data = dict(data)
-    for name in ("keyColumns", "insertColumns"):
+    for text, parts in _TEXTS.items():
+        if data.get(text) and (both := [p for p in parts if p in data]):
+            raise ValueError(f"{text} stands for {', '.join(both)}: not both")
+    for name in ("keyColumns", "insertColumns", "mergeKeys"):
         data[name] = tuple(data.get(name, ()))
     if "merge" in data:
         data["merge"] = tuple(Clause(**c) for c in data["merge"])
