@@ -16,9 +16,11 @@ page_id, so a payload that a third of all pages share gathers in no task.
 
 Defined cases: null html is an empty payload, null url an empty URL key; a null
 page_id is smaller than any other; rows repeated with the largest page_id are all
-responses; an empty table writes no file; without a ``captured`` column a page's
-date follows from its page_id and lies within one year, in UTC whatever the
-session's zone.  File names are new for each attempt of a task, and only what a
+responses; page_id may have any type that can be ordered and written as text (numbers,
+strings, dates), which results and index keep; an empty table writes no file; without a
+``captured`` column a page's date follows from its page_id (of whole numbers their value,
+else a digest) and lies within one year, in UTC whatever the session's zone; other columns
+play no part.  File names are new for each attempt of a task, and only what a
 finished attempt reports is indexed, so a lost executor leaves stray files, not
 wrong offsets.
 """
@@ -32,14 +34,16 @@ import itertools
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.storage import CommittedFile, drop, filesystem, materialised, shared_path
+from tidemark.llm.storage import CommittedFile, drop, filesystem, materialised, shared_path, typed
 
 REVISIT_FROM = 1000
 #: Captures that a range of the merged index holds, about.
@@ -52,10 +56,28 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:tidemark:page:"
 
 YEAR_S = 365 * 86_400
-RUN = "url_key string, captured string, page_id long, run string, path string, at long, length long"
-_RUN = pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("run", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_RUN = (("url_key", pa.string()), ("captured", pa.string()), ("page_id", None), ("run", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64()))
+#: Ids as text, as the records have them.
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+_RECORD = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
+
+
+def _run_schemas(pages: DataFrame) -> tuple[str, pa.Schema]:
+    """A capture's columns, as SQL and for Arrow; page_id has the type that it has in ``pages``."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    text = f"url_key string, captured string, {typed(pages, 'page_id')}, run string, path string, at long, length long"
+    return text, pa.schema([(n, t or to_arrow_type(pages.schema["page_id"].dataType)) for n, t in _RUN])
+
+
+def _named(page_id) -> str:
+    """An id in a record's header: null is left out, and an empty one is told from it."""
+    return ID if page_id is None else ID + (quote(str(page_id), safe="") or "%")
+
+
+def _id(uri: str) -> str | None:
+    text = uri.strip("<>").removeprefix(ID)
+    return None if not text else "" if text == "%" else unquote(text)
 
 
 def url_key(url: str | None) -> str:
@@ -67,14 +89,14 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2].lower() or "/")
 
 
-def record(page_id: int | None, url: str | None, captured: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id, url: str | None, captured: str, payload: bytes, refers_to, revisit: bool) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     uri = re.sub(r"[\s\x00-\x1f]", lambda c: "%%%02X" % ord(c[0]) if ord(c[0]) < 256 else c[0], url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {captured}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_named(page_id)}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {captured}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID}{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_named(refers_to)}>"]
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -90,8 +112,7 @@ def parse(data: bytes) -> dict:
     kind = fields["WARC-Type"]
     if not version.startswith("WARC/") or kind == "response" and (len(payload) != size or hashlib.sha1(payload).digest() != digest):
         raise ValueError(f"damaged record {fields.get('WARC-Record-ID')}")
-    number = lambda name: int(x) if (x := fields.get(name, "").strip("<>").removeprefix(ID)) else None
-    return {"page_id": number("WARC-Record-ID"), "payload_bytes": size, "payload_digest": digest.hex(), "record_type": kind, "refers_to": number("WARC-Refers-To")}
+    return {"page_id": _id(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest.hex(), "record_type": kind, "refers_to": _id(fields.get("WARC-Refers-To", ""))}
 
 
 class LoserTree:
@@ -141,7 +162,9 @@ def default_date(page_id: Column) -> Column:
 def planned(pages: DataFrame, captured: Column | None = None, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """page_id, url, html, captured, refers_to, revisit of every page (page_id, url, html)."""
     spark, at = pages.sparkSession, shared_path(pages.sparkSession, "warc-plan")
-    captured = default_date(F.col("page_id")) if captured is None else captured
+    if captured is None:
+        whole = isinstance(pages.schema["page_id"].dataType, (T.IntegralType, T.DecimalType))
+        captured = default_date(F.floor("page_id") if whole else F.crc32(F.col("page_id").cast("string").cast("binary")))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), captured.alias("captured"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= revisit_from, F.sha1("html")))
     long = materialised(rows.where("digest is not null").select("page_id", "digest"), f"{at}/long")
@@ -157,6 +180,7 @@ def planned(pages: DataFrame, captured: Column | None = None, revisit_from: int
 
 def write_runs(plan: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all records below ``folder``; the captures of each file, sorted, are a run."""
+    columns, schema = _run_schemas(plan)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, run = TaskContext.get().partitionId(), None, []
@@ -164,7 +188,7 @@ def write_runs(plan: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Da
         def closed() -> pa.RecordBatch:
             out.commit()
             run.sort(key=order)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*run), _RUN)], schema=_RUN)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*run), schema)], schema=schema)
 
         for batch in batches:
             for page_id, url, html, captured, refers_to, revisit in zip(*(batch.column(k).to_pylist() for k in range(6))):
@@ -178,17 +202,18 @@ def write_runs(plan: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Da
         if out is not None:
             yield closed()
 
-    plan.select("page_id", "url", "html", "captured", "refers_to", "revisit").mapInArrow(write, RUN).write.parquet(f"{folder}/_runs")
-    return plan.sparkSession.read.schema(RUN).parquet(f"{folder}/_runs")
+    plan.select("page_id", "url", "html", "captured", "refers_to", "revisit").mapInArrow(write, columns).write.parquet(f"{folder}/_runs")
+    return plan.sparkSession.read.schema(columns).parquet(f"{folder}/_runs")
 
 
 def order(row: tuple) -> tuple:
     """URL key, timestamp, then page and place, so that equal captures have one order."""
-    return (row[0].encode(), row[1], row[2] is not None, row[2] or 0, row[3], row[5])
+    return (row[0].encode(), row[1], row[2] is not None, 0 if row[2] is None else row[2], row[3], row[5])
 
 
 def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     """The capture histories in global order: parts of the table follow each other."""
+    columns, schema = _run_schemas(runs)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[pa.RecordBatch]] = {}
@@ -205,12 +230,12 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
 
         merged = (row for _, row in LoserTree([rows(slices[k]) for k in sorted(slices)]))
         while some := list(itertools.islice(merged, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _RUN)], schema=_RUN)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
     n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
     dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id", "run", "at").sortWithinPartitions("run", "url_key", "captured", "page_id", "at")
-    dealt.mapInArrow(merge, RUN).write.parquet(f"{folder}/_history")
-    return runs.sparkSession.read.schema(RUN).parquet(f"{folder}/_history")
+    dealt.mapInArrow(merge, columns).write.parquet(f"{folder}/_history")
+    return runs.sparkSession.read.schema(columns).parquet(f"{folder}/_history")
 
 
 def read_records(history: DataFrame) -> DataFrame:
@@ -230,7 +255,9 @@ def read_records(history: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
     n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return history.select("path", "at", "length").repartition(n, "path").sortWithinPartitions("path", "at").mapInArrow(read, RECORD)
+    found = history.select("path", "at", "length").repartition(n, "path").sortWithinPartitions("path", "at").mapInArrow(read, RECORD)
+    as_given = lambda c: F.col(c).cast(history.schema["page_id"].dataType).alias(c)
+    return found.select(as_given("page_id"), "payload_bytes", "payload_digest", "record_type", as_given("refers_to"))
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
