@@ -32,6 +32,23 @@ def histogram(samples: DataFrame, value: str, by: str, bounds: tuple[float, ...]
     return wide.select(by, F.inline(F.array(*pairs, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))), "total")
 
 
+#: Values of a sketch that keep a rank's error below ``RANK_ERROR`` with 99 % probability.
+SKETCH_K, RANK_ERROR = 400, 0.009
+
+
+def sketches(samples: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, sketch, n): one small sketch of the values of each run and target, to be kept with the runs."""
+    return samples.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch"), F.count(value).alias("n"))
+
+
+def quantiles(kept: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(by, share, value, n): quantiles over many runs, from their sketches alone.  Exact up to ``SKETCH_K`` values;
+    beyond that a value's rank is within ``RANK_ERROR`` of its share."""
+    merged = kept.groupBy(by).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"), F.sum("n").alias("n"))
+    one = [F.struct(F.lit(p).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("value")) for p in shares]
+    return merged.select(by, F.inline(F.array(*one)), "n")
+
+
 #: Timers: series, event and field that they measure, further labels.
 TIMERS = (("etl_page_duration_seconds", "page", "page_seconds", ()), ("etl_merge_duration_seconds", "page", "merge_seconds", ()), ("etl_run_duration_seconds", "run", "seconds", ("status",)))
 

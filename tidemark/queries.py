@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import render, sqltext, statements, watermark
+from tidemark.operators import coverage, intervals, paging, staging
 from tidemark.operators import merge as mg
-from tidemark.operators import paging, staging
 from tidemark.plans import metrics, status, validate
 from tidemark.plans.pipeline import Engine, is_auth_error  # noqa: F401
 from tidemark.plans.runner import RunManager
@@ -680,6 +680,64 @@ def ddl_columns(spark, sf_dir):
     return introspect.columns(spark, table(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
+@register(_LOG_SQL + " UNION ALL ".join(f" SELECT target, {p}::DOUBLE AS share, quantile_disc(seconds, {p}) AS value, count(*)::BIGINT AS n FROM log WHERE event = 'page' GROUP BY target" for p in (0.5, 0.95, 0.99)))
+def metrics_quantiles(spark, sf_dir):
+    """Quantiles of page times a target, merged from one sketch for each run (here: for each of seven stretches of its pages)."""
+    pages = _log(spark, sf_dir).where("event = 'page'").withColumn("run", F.col("rows") % 3 + F.floor(F.col("seconds") * 4) % 7)
+    return metrics.quantiles(metrics.sketches(pages, "seconds", "target", "run"), "target")
+
+
+# Proofs of coverage, and joins by time.
+
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_DAMAGED = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_orderkey % 1000 = 9 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_extendedprice, l_shipdate FROM lineitem WHERE NOT (l_orderkey % 1000 = 7 AND l_linenumber % 2 = 1)
+  UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem WHERE l_orderkey % 1000 = 8
+  UNION ALL SELECT -l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem WHERE l_orderkey % 2000 = 10"""
+_LINE_COLUMNS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate"
+
+
+@register(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n, list_sort(list(x::VARCHAR)) AS all_rows FROM (SELECT {_LINE_COLUMNS} FROM lineitem) x GROUP BY 1, 2, 3, 4),
+t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n, list_sort(list(x::VARCHAR)) AS all_rows FROM ({_DAMAGED}) x GROUP BY 1, 2, 3, 4)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN t.n IS NULL THEN 'lost' WHEN s.n IS NULL THEN 'extra' WHEN t.n > s.n THEN 'doubled' WHEN t.n < s.n THEN 'fewer' ELSE 'changed' END AS finding,
+  coalesce(s.n, 0)::BIGINT AS source_rows, coalesce(t.n, 0)::BIGINT AS target_rows
+FROM s FULL JOIN t USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE s.all_rows IS DISTINCT FROM t.all_rows""")
+def coverage_findings(spark, sf_dir):
+    """Lost, doubled, changed and extra rows of a damaged copy, named by their keys."""
+    sources(spark, sf_dir, "lineitem")
+    return coverage.uncovered(spark.sql(f"SELECT {_LINE_COLUMNS} FROM lineitem"), spark.sql(_DAMAGED), _LINE_KEYS, few=1000)
+
+
+@register("SELECT o_orderkey, 'lost' AS finding, 1::BIGINT AS source_rows, 0::BIGINT AS target_rows FROM orders WHERE o_orderdate IS NULL OR o_orderdate <= TIMESTAMP '1995-06-01'")
+def coverage_of_a_load(spark, sf_dir):
+    """A target loaded from a later initial watermark, held against its source."""
+    sources(spark, sf_dir, "orders")
+    engine, spec = Engine(spark, files.fresh(spark, "coverage")), dataclasses.replace(ORDERS, initialWm="1995-06-01 00:00:00", pageSize=None)
+    _must(engine.run_target(spec))
+    return coverage.uncovered(catalog.source(spark, spec), engine.read(spec), spec.keyColumns, few=500)
+
+
+@register("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), o AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase')
+SELECT e.event_id, e.user_id, arg_max(o.event_id, (o.ts, o.event_id)) AS last_id, max(o.ts) AS last_ts FROM e LEFT JOIN o ON o.user_id = e.user_id AND o.ts <= e.ts GROUP BY 1, 2""")
+def asof_last_event(spark, sf_dir):
+    """For each purchase what its user did last before it; users of more than 50 events are cut into pieces of time."""
+    kinds = table(spark, sf_dir, "events")
+    bought, other = (kinds.where(w).select("event_id", "user_id", "ts") for w in ("event_type = 'purchase'", "event_type <> 'purchase'"))
+    found = intervals.asof(bought, other, [("user_id", "user_id")], ("ts", "ts"), ["event_id"], piece=50)
+    return found.select("event_id", "user_id", F.col("last.event_id").alias("last_id"), F.col("last.ts").alias("last_ts"))
+
+
+_SPANS = "SELECT o_custkey, o_orderkey, min(l_shipdate) AS begins, max(l_shipdate) AS ends FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey"
+
+
+@register(f"WITH s AS ({_SPANS}) SELECT x.o_custkey, x.o_orderkey AS one, y.o_orderkey AS other FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.begins <= y.ends AND y.begins <= x.ends")
+def overlapping_spans(spark, sf_dir):
+    """Orders of one customer whose shipping times overlap."""
+    sources(spark, sf_dir, "orders", "lineitem")
+    spans = spark.sql(_SPANS)
+    found = intervals.overlapping(spans, spans, [("o_custkey", "o_custkey")], (("begins", "ends"), ("begins", "ends")))
+    return found.where("l.o_orderkey < r.o_orderkey").select("l.o_custkey", F.col("l.o_orderkey").alias("one"), F.col("r.o_orderkey").alias("other"))
+
+
 _TIMES = [(datetime(2026, 4, 17, 10, 0, 0),), (datetime(1999, 12, 31, 23, 59, 59, 123456),)]
 
 
