@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 60.0, 600.0)
 
@@ -50,7 +51,31 @@ def quantiles(kept: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95,
 
 
 #: Timers: series, event and field that they measure, further labels.
-TIMERS = (("etl_page_duration_seconds", "page", "page_seconds", ()), ("etl_merge_duration_seconds", "page", "merge_seconds", ()), ("etl_run_duration_seconds", "run", "seconds", ("status",)))
+TIMERS = (("etl_page_duration_seconds", "page", "page_seconds", ()), ("etl_merge_duration_seconds", "page", "merge_seconds", ()), ("etl_run_duration_seconds", "run", "seconds", ("status",)), ("etl_batch_duration_seconds", "batch", "seconds", ()))
+
+
+class StreamTotals(StreamingQueryListener):
+    """Adds streams to an engine's totals: batches and their times by the stream's name, and how a stream ended.
+    Rows are told by the sink: a stream's own number counts those that a batch reads twice."""
+
+    def __init__(self, totals: Totals):
+        self.totals, self.names = totals, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.names.setdefault(str(p.id), p.name or str(p.id))
+        if p.numInputRows:
+            self.totals.add({"event": "batch", "target": p.name or str(p.id), "seconds": p.batchDuration / 1000})
+
+    def onQueryIdle(self, event) -> None:
+        """A stream that waits changes nothing."""
+
+    def onQueryTerminated(self, event) -> None:
+        name = self.names.get(str(event.id), str(event.id))
+        self.totals.add({"event": "run", "target": name, "status": "failed" if event.exception else "ok"})
 
 
 class Totals:
@@ -64,6 +89,8 @@ class Totals:
         kind, target = event["event"], event["target"]
         if kind == "run":
             self.counts["etl_runs_total", target, event["status"]] += 1
+        elif kind == "batch":
+            self.counts["etl_stream_batches_total", target, None] += 1
         elif kind == "retry":
             self.counts["etl_source_auth_retries_total", target, None] += 1
         elif kind == "page":

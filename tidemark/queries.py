@@ -15,9 +15,12 @@ from tidemark.operators import merge as mg
 from tidemark.plans import metrics, status, validate
 from tidemark.plans.pipeline import Engine, is_auth_error  # noqa: F401
 from tidemark.plans.runner import RunManager
-from tidemark.sources import catalog, files, introspect, migrate
+from tidemark.sources import catalog, files, introspect, migrate, splits
 from tidemark.sources import state as st
+from tidemark.sources.snapshot import SnapshotTable
 from tidemark.spec import NUMBER, Clause, PipelineSpec, TargetSpec, load
+from tidemark.streaming import cursor
+from tidemark.streaming.upsert import upsert_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 T0 = datetime(2026, 4, 17, 10, 0, 0)
@@ -352,6 +355,31 @@ def e2e_schema_evolution(spark, sf_dir):
     return engine.read(EVENTS)
 
 
+@register("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL")
+def e2e_stream_by_cursor(spark, sf_dir):
+    """A stream whose offset is the cursor: orders arrive in two lots, with ties across them; it is stopped and started again between."""
+    at = files.fresh(spark, "cursor")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    middle = orders.agg(F.percentile_approx("o_orderdate", 0.5)).first()[0]
+    early = (F.col("o_orderdate") < F.lit(middle)) | ((F.col("o_orderdate") == F.lit(middle)) & (F.col("o_orderkey") <= 20_000))
+    target = SnapshotTable(spark, f"{at}/target", 4)
+    spark.dataSource.register(cursor.CursorSource)
+    for rows in (orders.where(early), orders.where(~early)):
+        rows.coalesce(2).write.mode("append").parquet(f"{at}/source")
+        stream = spark.readStream.format("cursor").schema(orders.schema).options(path=f"{at}/source", watermark="o_orderdate", keys="o_orderkey").load()
+        upsert_stream(stream, target, ["o_orderkey"], f"{at}/checkpoint", [Clause("not_matched", "insert")]).awaitTermination()
+    return target.read()
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem")
+def splits_cover_source(spark, sf_dir):
+    """All rows, read through the disjoint predicates of sixteen balanced parts, cut by date and then by key."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    spans = splits.predicates(splits.over_rows(rows), ["l_shipdate", "l_orderkey"], 16, splits.SPARK)
+    _must(len(spans) > 8)
+    return reduce(DataFrame.unionAll, [rows.where(s) for s in spans])
+
+
 def _crashed(spark, sf_dir, resume: str):
     """Stop after two pages of 1000, then run again in large pages."""
     sources(spark, sf_dir, "orders")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.sqltext import with_predicate
 from tidemark.operators import seek
+from tidemark.sources import splits
 from tidemark.spec import TargetSpec
 
-FETCH_ROWS, TIMEOUT_S = 10_000, 600
+FETCH_ROWS, TIMEOUT_S, PARTS = 10_000, 600, 16
 
 
 class SourceCatalog:
@@ -28,12 +29,16 @@ class SourceCatalog:
     def parquet(self, name: str, path: str) -> SourceCatalog:
         return self.add(name, lambda: self.spark.read.parquet(path))
 
-    def jdbc(self, name: str, url: str, table: str, fetch_rows: int = FETCH_ROWS, timeout_s: int = TIMEOUT_S, **options: str) -> SourceCatalog:
-        """Options such as partitionColumn, lowerBound, upperBound and numPartitions
-        make the read parallel; filters and columns are pushed to the database.  Timestamps
+    def jdbc(self, name: str, url: str, table: str, fetch_rows: int = FETCH_ROWS, timeout_s: int = TIMEOUT_S, split_by: Sequence[str] = (), parts: int = PARTS, **options: str) -> SourceCatalog:
+        """With ``split_by``, columns such as the watermark and the keys, the table is read in ``parts`` of
+        about equal size at once, whose bounds are found by counting; options such as partitionColumn, lowerBound,
+        upperBound and numPartitions give bounds by hand.  Filters and columns are pushed to the database.  Timestamps
         are read without a zone, as watermarks are, so a watermark's filter needs no cast."""
-        held = {"url": url, "dbtable": table, "fetchsize": fetch_rows, "queryTimeout": timeout_s, "preferTimestampNTZ": "true"}
-        return self.add(name, self.spark.read.format("jdbc").options(**(held | options)).load)
+        held = {"fetchsize": str(fetch_rows), "queryTimeout": str(timeout_s), "preferTimestampNTZ": "true"} | options
+        if not split_by:
+            return self.add(name, self.spark.read.format("jdbc").options(url=url, dbtable=table, **held).load)
+        spans = splits.predicates(splits.over_jdbc(self.spark, url, table, **options), split_by, parts)
+        return self.add(name, lambda: self.spark.read.jdbc(url, table, predicates=spans, properties=held))
 
     def ping(self) -> bool:
         return self.spark.sql("SELECT 1").first()[0] == 1
