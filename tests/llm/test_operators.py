@@ -314,7 +314,8 @@ def test_url_weights_by_brute_force(spark):
     rows = table.select("label", url_filter.features(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("f")).collect()
     x, y = np.zeros((len(rows), url_filter.BUCKETS)), np.array([r.label for r in rows], float)
     for k, r in enumerate(rows):
-        x[k, r.f] = 1 / np.sqrt(len(r.f))
+        for g in r.f:
+            x[k, g.id] += g.x
     w, b = np.zeros(url_filter.BUCKETS), 0.0
     for _ in range(20):
         e = 1 / (1 + np.exp(-(x @ w + b))) - y

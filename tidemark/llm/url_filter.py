@@ -6,9 +6,14 @@ so its hashed n-grams are gathered into arrays and ``aggregate`` runs full-batch
 gradient descent over them.  The weights, ``BUCKETS`` numbers, are a scalar
 subquery of the scoring plan.
 
+A URL's features are the n-grams of its host, the words of its host, and the n-grams of
+its path.  Each of the three has a length of its own (``SHARES``), so a long path does not
+dilute what the host says.
+
 Defined cases: a null URL or one without ``://`` has an empty host and path, no
-rule, and is judged by the bias alone; ties cannot arise, since two rules that
-fit one URL and are equally long are the same rule.
+rule, and is judged by the bias and the marks of an empty host; ties cannot arise, since
+two rules that fit one URL and are equally long are the same rule; very long URLs are read
+whole; repeated rows are judged alike; page_id may have any type; other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,11 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import labelled_urls
+
 #: (verdict, rule): a rule is a host, which covers its subdomains, and the begin of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 BUCKETS, SIZES = 8192, (3, 4, 5)
-STEPS, RATE, SHRINK = 300, 6.0, 0.003
+#: Lengths of the host's n-grams, the host's words and the path's n-grams in a URL's features.
+SHARES = (1.0, 1.0, 0.2)
+STEPS, RATE, SHRINK = 180, 24.0, 0.0003
+#: Added to the trained bias: between held-out plain and spam hosts that share few n-grams with the table.
+#: Such hosts score low, most n-grams being unknown, and plain ones lower still.
+MARGIN = 0.32
 MOST_LABELLED = 2_000
 
 #: What labelled URLs are made of: words of hosts and of paths, for URLs to block and for plain ones.
@@ -53,14 +65,18 @@ def _made(words: list[str], paths: list[str], ends: list[str], n: int) -> tuple[
     return tuple(out)
 
 
+#: Frequent pairs of letters of English text.
+PAIRS = "th he in er an re nd on en at ou ed ha to or it is hi es ng st ar se le te al io ne de ve ri ro ic li ra co me ti ea sh wh bl".split()
+
+
 def _neutral(n: int) -> tuple[str, ...]:
-    """``n`` names of two or three syllables that mean nothing: a host of which nothing is known is plain."""
-    parts = [c + v for c in "bcdfghklmnprstvwz" for v in "aeiou"]
-    return tuple("".join(parts[(k * (29 + 8 * j) + j * j) % len(parts)] for j in range(2 + k % 2)) for k in range(1, n + 1))
+    """``n`` names of two to four pairs that mean nothing: a host of which nothing is known is plain."""
+    return tuple("".join(PAIRS[(k * (17 + 6 * j) + j * j * 5 + k // 7) % len(PAIRS)] for j in range(2 + k % 3)) for k in range(1, n + 1))
 
 
-BLOCKED = _made(SPAM_WORDS, SPAM_PATHS, SPAM_ENDS, 180)
-PLAIN = _made(PLAIN_WORDS, PLAIN_PATHS, PLAIN_ENDS, 90) + _made(list(_neutral(40)), PLAIN_PATHS + SPAM_PATHS[::3], PLAIN_ENDS + SPAM_ENDS, 40)
+#: Hand-labelled URLs, and more of the same words by rule; spam and plain hosts have the same kinds of paths and ends.
+BLOCKED = tuple(labelled_urls.BLOCKED.split()) + _made(SPAM_WORDS, SPAM_PATHS + PLAIN_PATHS[:10], SPAM_ENDS + PLAIN_ENDS, 280)
+PLAIN = tuple(labelled_urls.PLAIN.split()) + _made(PLAIN_WORDS, PLAIN_PATHS, PLAIN_ENDS + SPAM_ENDS[-4:], 90) + _made(list(_neutral(200)), PLAIN_PATHS + SPAM_PATHS[::3], PLAIN_ENDS + SPAM_ENDS, 200)
 
 
 def _after_scheme(url: Column) -> Column:
@@ -90,18 +106,22 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def features(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the distinct character n-grams of ``^host$`` and of the path."""
+    """(id, x) of the distinct n-grams of ``^host$``, of the host's words and of the path's n-grams, hashed to buckets:
+    the values of each of the three have the length that ``SHARES`` gives it."""
+    def hashed(mark: str, text: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(mark), text), F.lit(buckets)).cast("int")
+
     def grams(text: Column, mark: str, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int"))
-
-    marked = F.concat(F.lit("^"), host, F.lit("$"))
-    sets = [grams(marked, "h", n) for n in SIZES] + [grams(path, "p", n) for n in SIZES]
-    return F.array_sort(F.array_distinct(F.concat(*sets)))
+        return F.transform(starts, lambda i: hashed(mark, F.substring(text, i, F.lit(n))))
 
+    def weighed(ids: Column, share: float) -> Column:
+        scaled = lambda ids: F.transform(ids, lambda k: F.struct(k.alias("id"), (F.lit(share) / F.sqrt(F.size(ids).cast("double"))).alias("x")))
+        return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(ids))), scaled), 1)
 
-def _scale(found: Column) -> Column:
-    return 1 / F.sqrt(F.size(found).cast("double"))
+    marked = F.concat(F.lit("^"), host, F.lit("$"))
+    ids = [F.concat(*[grams(marked, "h", n) for n in SIZES]), F.transform(F.split(host, "[.-]"), lambda w: hashed("w", w)), F.concat(*[grams(path, "p", n) for n in SIZES])]
+    return F.concat(*map(weighed, ids, SHARES))
 
 
 def labelled(spark: SparkSession) -> DataFrame:
@@ -116,17 +136,16 @@ def trained(table: DataFrame, buckets: int = BUCKETS, steps: int = STEPS) -> Dat
     if not 0 < n <= MOST_LABELLED:
         raise ValueError(f"{n} labelled URLs; 1 to {MOST_LABELLED} are asked for")
     rows = rows.select("label", features(host_of(F.col("url")), path_of(F.col("url")), buckets).alias("f"))
-    rows = rows.select("label", "f", _scale(F.col("f")).alias("s"))
     # By example: its buckets; by bucket: the examples that have it.  Examples in one order.
-    ranked = rows.agg(F.array_sort(F.collect_list(F.struct("label", "f", "s"))).alias("rows"))
-    having = ranked.select(F.posexplode("rows").alias("k", "row")).select("k", F.explode("row.f").alias("id"))
-    having = having.groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    whole = table.sparkSession.range(buckets).join(having, "id", "left").select("id", F.coalesce("ks", F.expr("cast(array() as array<int>)")).alias("ks"))
+    ranked = rows.agg(F.array_sort(F.collect_list(F.struct("label", "f"))).alias("rows"))
+    having = ranked.select(F.posexplode("rows").alias("k", "row")).select("k", F.inline("row.f"))
+    having = having.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("ks"))
+    whole = table.sparkSession.range(buckets).join(having, "id", "left").select("id", F.coalesce("ks", F.expr("cast(array() as array<struct<k:int,x:double>>)")).alias("ks"))
     cols = whole.agg(F.array_sort(F.collect_list(F.struct("id", "ks"))).alias("all")).select(F.col("all.ks"))
     ranked = ranked.withColumn("cols", cols.scalar())
-    error = "transform(rows, r -> 1 / (1 + exp(-(aggregate(r.f, 0D, (a, b) -> a + w[b]) * r.s + w[" + str(buckets) + "]))) - r.label)"
+    error = "transform(rows, r -> 1 / (1 + exp(-(aggregate(r.f, 0D, (a, g) -> a + w[g.id] * g.x) + w[" + str(buckets) + "]))) - r.label)"
     step = f"""aggregate(array({error}), w, (v, e) -> concat(
-        transform(cols, (ks, b) -> v[b] * {1 - SHRINK}D - {RATE}D * aggregate(ks, 0D, (a, k) -> a + e[k] * rows[k].s) / size(rows)),
+        transform(cols, (ks, b) -> v[b] * {1 - SHRINK}D - {RATE}D * aggregate(ks, 0D, (a, g) -> a + e[g.k] * g.x) / size(rows)),
         array(v[{buckets}] - {RATE / 4}D * aggregate(e, 0D, (a, x) -> a + x) / size(rows))))"""
     return ranked.select(F.expr(f"aggregate(sequence(1, {steps}), array_repeat(0D, {buckets + 1}), (w, i) -> {step})").alias("w"))
 
@@ -137,7 +156,7 @@ def judge(pages: DataFrame, table: DataFrame | None = None, rules=RULES) -> Data
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("f", features(F.col("host"), F.col("path"))).withColumn("w", weights)
-    total = F.aggregate("f", F.lit(0.0), lambda a, b: a + F.get(F.col("w"), b)) * _scale(F.col("f")) + F.get(F.col("w"), F.lit(BUCKETS))
+    total = F.aggregate("f", F.lit(0.0), lambda a, g: a + F.get(F.col("w"), g["id"]) * g["x"]) + F.get(F.col("w"), F.lit(BUCKETS)) + MARGIN
     rows = rows.select("page_id", "host", "path", (1 / (1 + F.exp(-total))).alias("score"))
     verdict, rule = matching_rule(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
