@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from tidemark.spec import MARKER
 
 
@@ -28,6 +31,12 @@ def insert_columns(insert: str) -> list[str] | None:
     return [x.strip() for x in found[1].split(",")] if found else None
 
 
+def inserted_columns(insert: Column) -> Column:
+    """``insert_columns`` of a column of texts: an array of names, null where there is no list."""
+    listed = F.regexp_extract(insert, r"(?is)^\s*INSERT\s+(?:/\*\+.*?\*/\s*)?INTO\s+[\w.$\"]+\s*\(([^)]*)\)\s*VALUES", 1)
+    return F.when(listed != "", F.transform(F.split(listed, ","), lambda name: F.trim(name)))
+
+
 def without_hints(sql: str) -> str:
     """Text without optimizer hints of other databases, which Spark does not parse."""
     return re.sub(r"/\*\+.*?\*/\s*", "", sql, flags=re.S)

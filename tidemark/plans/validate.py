@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import statements
 from tidemark.functions.sqltext import first_word, select_columns
-from tidemark.functions.watermark import parse
+from tidemark.functions.watermark import parse, parsed
 from tidemark.sources.catalog import source
 from tidemark.spec import MARKER, NUMBER, TIMESTAMP, TargetSpec
 
@@ -27,6 +28,21 @@ def repeated_names(config: DataFrame) -> DataFrame:
     return config.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
 
 
+def findings_table(config: DataFrame) -> DataFrame:
+    """(target, about) for a table of targets (name, watermark_type, initial_wm, n_keys, page_size, lookback,
+    source_query): what ``findings`` says of their ranges and queries, in one projection."""
+    kind, text, lookback = F.col("watermark_type"), F.col("initial_wm"), F.col("lookback")
+    marks = F.size(F.split("source_query", re.escape(MARKER), -1)) - 1
+    wrong = [
+        ("watermarkType", ~kind.isin(TIMESTAMP, NUMBER)),
+        ("initialWm", F.when(kind == NUMBER, parsed(text, NUMBER).isNull()).when(kind == TIMESTAMP, parsed(text, TIMESTAMP).isNull())),
+        ("keyColumns", F.col("n_keys") == 0), ("pageSize", F.col("page_size") <= 0), ("lookbackMinutes", (lookback < 0) | ((lookback > 0) & (kind == NUMBER))),
+        ("sourceQuery", ~F.upper(F.ltrim("source_query")).startswith("SELECT")), ("sourceQuery", marks != 1),
+    ]
+    about = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in wrong]))
+    return config.select(F.col("name").alias("target"), F.explode(about).alias("about"))
+
+
 def findings(specs: list[TargetSpec]) -> list[Finding]:
     """From the text alone.  Where there is a session, its parser reads the queries; INSERT and
     MERGE texts need one."""

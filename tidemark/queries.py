@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from datetime import datetime, timezone
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +14,14 @@ from tidemark.operators import coverage, intervals, paging, staging
 from tidemark.operators import merge as mg
 from tidemark.plans import metrics, status, validate
 from tidemark.plans.pipeline import Engine, is_auth_error  # noqa: F401
-from tidemark.plans.runner import RunManager
 from tidemark.sources import catalog, files, introspect, migrate, splits
 from tidemark.sources import state as st
 from tidemark.sources.snapshot import SnapshotTable
-from tidemark.spec import NUMBER, Clause, PipelineSpec, TargetSpec, load
+from tidemark.spec import NUMBER, Clause, TargetSpec, load
 from tidemark.streaming import cursor
 from tidemark.streaming.upsert import upsert_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-T0 = datetime(2026, 4, 17, 10, 0, 0)
 
 ORDERS = TargetSpec("orders", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE /*WM*/", "t_orders", "o_orderdate", ("o_orderkey",), pageSize=1000)
 LINES = TargetSpec("lines", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM lineitem WHERE /*WM*/", "t_lines", "l_shipdate", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), pageSize=1000)
@@ -56,20 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sql(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).upper()
-    if isinstance(v, datetime):
-        return f"TIMESTAMP '{v}'"
-    return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-
-
-def values(rows: list[tuple], names: str) -> str:
-    return f"(VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) AS v({names})"
-
-
 # Scans, seeks and pages.
 
 
@@ -109,10 +93,12 @@ def page_trace(spark, sf_dir):
 
 @register(f"SELECT page, count(*) AS rows FROM ({_TRACE}) GROUP BY page UNION ALL SELECT count(*) // 1000 + 1, 0 FROM orders HAVING count(*) % 1000 = 0")
 def page_trace_exact_multiple(spark, sf_dir):
-    """The loop itself: a full last page is followed by an empty one."""
+    """A full last page is followed by an empty fetch."""
     sources(spark, sf_dir, "orders")
-    found = [s["rows"] for _, s in paging.pages(spark, ORDERS, watermark.effective(ORDERS, None), None, files.fresh(spark, "trace"))]
-    return spark.createDataFrame(list(enumerate(found, 1)), "page long, rows long")
+    rows = catalog.rows_after(spark, dataclasses.replace(ORDERS, pageSize=None), watermark.effective(ORDERS, None))
+    trace = paging.page_trace(rows, ORDERS).select("page", "rows")
+    last = trace.agg(F.max("page").alias("page"), F.max_by("rows", "page").alias("rows"))
+    return trace.unionByName(last.where(F.col("rows") == ORDERS.pageSize).select((F.col("page") + 1).alias("page"), F.lit(0).cast("long").alias("rows")))
 
 
 @register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM lineitem")
@@ -161,12 +147,10 @@ def number_watermark_incremental(spark, sf_dir):
     return catalog.page(spark, NUMBERED, watermark.parse("4321", NUMBER))
 
 
-_TEXTS = [("9",), ("10",), ("101",), ("2",), (None,)]
-
-
-@register(f"SELECT CAST(max(CAST(n AS DECIMAL(38,10))) AS VARCHAR) AS wm FROM {values(_TEXTS, 'n')}")
+@register("SELECT CAST(max(CAST(o_orderkey AS DECIMAL(38,10))) AS VARCHAR) AS wm FROM orders")
 def string_staging_typed_max(spark, sf_dir):
-    return spark.createDataFrame(_TEXTS, "n string").agg(F.max(watermark.parsed(F.col("n"), NUMBER)).cast("string").alias("wm"))
+    """The largest of numbers that are staged as text: 9 is before 10."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("n")).agg(F.max(watermark.parsed(F.col("n"), NUMBER)).cast("string").alias("wm"))
 
 
 @register("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 600 OFFSET 600")
@@ -183,15 +167,14 @@ def staging_positional_map(spark, sf_dir):
     return staging.positional(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ("id", "label", "amount"))
 
 
-_FORMATTED = [("17.04.2026", "17/04/2026 10:30:45", "1.234,50"), ("01.12.1999", "31/12/1999 23:59:59", "0,5"), (None, None, None)]
-
-
-@register("SELECT CAST(d AS VARCHAR) AS d, t, CAST(n AS VARCHAR) AS n FROM (VALUES (DATE '2026-04-17', TIMESTAMP '2026-04-17 10:30:45', 1234.50::DECIMAL(18,2)), (DATE '1999-12-01', TIMESTAMP '1999-12-31 23:59:59', 0.50::DECIMAL(18,2)), (NULL, NULL, NULL)) v(d, t, n)")
+@register("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, o_orderdate AS t, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS n FROM orders")
 def nls_coercion(spark, sf_dir):
+    """Dates, times and numbers of orders as text in other formats, read back by them."""
     formats = {"NLS_DATE_FORMAT": "DD.MM.YYYY", "NLS_TIMESTAMP_FORMAT": "DD/MM/YYYY HH24:MI:SS", "NLS_NUMERIC_CHARACTERS": ",."}
-    rows = spark.createDataFrame(_FORMATTED, "d string, t string, n string")
+    price = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", ".,")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("d"), F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("t"), price.alias("n"))
     typed = {c: staging.coerced(F.col(c), k, formats) for c, k in (("d", "date"), ("t", "timestamp_ntz"), ("n", "decimal(18,2)"))}
-    return rows.select(typed["d"].cast("string").alias("d"), typed["t"].alias("t"), typed["n"].cast("string").alias("n"))
+    return rows.select("o_orderkey", typed["d"].cast("string").alias("d"), typed["t"].alias("t"), typed["n"].cast("string").alias("n"))
 
 
 _TEXTUAL = TargetSpec(
@@ -405,48 +388,10 @@ def e2e_watermark_resume_tie_loss(spark, sf_dir):
 
 # Run state.
 
-_SPEC = TargetSpec("t", "SELECT id, updated_at FROM t WHERE /*WM*/", "t", "updated_at", ("id",))
 _AT = "2026-04-17 10:00:00"
 _COLUMNS = "target_name, wm_column, CAST(last_wm_timestamp AS STRING) AS wm, CAST(current_run_started AS TIMESTAMP_NTZ) AS started, current_run_id AS run_id, current_run_rows AS run_rows, CAST(last_success_finished AS TIMESTAMP_NTZ) AS success, last_success_rows AS success_rows, last_success_duration_ms AS ms, CAST(last_failure_finished AS TIMESTAMP_NTZ) AS failure, last_failure_error AS error"
 
 
-def _clock(minute: int = 0) -> datetime:
-    return T0.replace(minute=minute, tzinfo=timezone.utc)
-
-
-def _state(spark, *states) -> DataFrame:
-    return st.frame(spark, list(states)).selectExpr(*[c.strip() for c in _COLUMNS.replace("CAST(", "cast(").split(", ")])
-
-
-def _state_sql(**held) -> str:
-    kinds = {"wm": "VARCHAR", "started": "TIMESTAMP", "run_id": "VARCHAR", "run_rows": "BIGINT", "success": "TIMESTAMP", "success_rows": "BIGINT", "ms": "BIGINT", "failure": "TIMESTAMP", "error": "VARCHAR"}
-    parts = [f"CAST({_sql(held.get(k))} AS {t}) AS {k}" for k, t in kinds.items()]
-    return f"SELECT 't' AS target_name, 'updated_at' AS wm_column, {', '.join(parts)}"
-
-
-def _run(*steps):
-    s = None
-    for step in steps:
-        s = step(s)
-    return s
-
-
-def _begin(s):
-    return st.begin(s, _SPEC, "r1", _clock())
-
-
-def _progressed(s):
-    return st.progress(s, _SPEC, "2026-04-17 16:05:41.250017", 5000)
-
-
-def _finished(s):
-    return st.finish(s, 15000, 42000, _clock(5))
-
-
-def _failed(s):
-    return st.fail(s, _SPEC, "ORA-00942", _clock(7))
-
-
 def _at(minute: int):
     return F.lit(f"2026-04-17 10:{minute:02d}:00").cast("timestamp")
 
@@ -460,6 +405,10 @@ def _loads(spark, sf_dir) -> DataFrame:
 
 
 def _states_of(loads: DataFrame, *steps: str) -> DataFrame:
+    return _held(loads, *steps).selectExpr(*[c.strip() for c in _COLUMNS.split(", ")])
+
+
+def _held(loads: DataFrame, *steps: str) -> DataFrame:
     """The loads' states after steps: every third fails before it ever began; all begin; those with
     rows make progress; even ones finish."""
     held, wm_column = st.empty(loads.sparkSession), F.lit("updated_at").alias("wm_column")
@@ -473,7 +422,7 @@ def _states_of(loads: DataFrame, *steps: str) -> DataFrame:
             held = st.progressed(held, loads.where("rows > 0").select("target_name", F.lit("TIMESTAMP").alias("kind"), "wm", "rows"))
         else:
             held = st.finished(held, loads.where("k % 2 = 0").select("target_name", "rows", (F.col("k") * 1000).alias("ms"), _at(5).alias("at")))
-    return held.selectExpr(*[c.strip() for c in _COLUMNS.split(", ")])
+    return held
 
 
 _LOADS_SQL = """
@@ -528,79 +477,92 @@ def fail_error_truncation(spark, sf_dir):
     return _states_of(_loads(spark, sf_dir), "fail").select("target_name", F.length("error").cast("long").alias("n"))
 
 
-@register(_state_sql(run_rows=0, failure="2026-04-17 12:00:00", error=st.STALE) + " UNION ALL " + _state_sql(run_rows=0, failure="2026-04-17 10:07:00", error="ORA-00942"))
+@register(f"""{_LOADS_SQL} SELECT target_name, 'updated_at' AS wm_column, CASE WHEN rows > 0 THEN strftime(wm, '%Y-%m-%d %H:%M:%S') END AS wm, NULL::TIMESTAMP AS started, NULL::VARCHAR AS run_id, 0::BIGINT AS run_rows,
+  CASE WHEN k % 2 = 0 THEN TIMESTAMP '2026-04-17 10:05:00' END AS success, CASE WHEN k % 2 = 0 THEN rows END AS success_rows, CASE WHEN k % 2 = 0 THEN (k * 1000)::BIGINT END AS ms,
+  CASE WHEN k % 2 <> 0 THEN TIMESTAMP '2026-04-17 12:00:00' WHEN k % 3 = 0 THEN TIMESTAMP '2026-04-17 10:07:00' END AS failure,
+  CASE WHEN k % 2 <> 0 THEN '{st.STALE}' WHEN k % 3 = 0 THEN left('ORA-00942 ' || repeat('x', (3900 + 20 * k)::INT), 4000) END AS error FROM loads""")
 def stale_reset(spark, sf_dir):
-    rows = st.reset_stale(st.frame(spark, [_run(_begin), _run(_begin, _failed)]), F.lit("2026-04-17 12:00:00").cast("timestamp"))
-    return rows.selectExpr(*[c.strip() for c in _COLUMNS.split(", ")])
+    """Runs that are still open when a service starts become failures; the others stay."""
+    held = _held(_loads(spark, sf_dir), "fail", "begin", "progress", "finish")
+    return st.reset_stale(held, F.lit("2026-04-17 12:00:00").cast("timestamp")).selectExpr(*[c.strip() for c in _COLUMNS.split(", ")])
 
 
 # Status.
 
-_STATES = [
-    ("a", 1, 0, datetime(2026, 4, 17, 9), datetime(2026, 4, 17, 8), datetime(2026, 4, 17, 7), 10, 99),
-    ("b", 1, 1, None, datetime(2026, 4, 17, 8), datetime(2026, 4, 17, 9), None, 50),
-    ("c_Lines", 2, 2, None, datetime(2026, 4, 17, 8), datetime(2026, 4, 17, 8), None, 7),
-    ("d_lines", None, 3, None, None, None, None, None),
-    ("e", None, 4, None, None, datetime(2026, 4, 17, 6), None, None),
-]
-_STATE_COLUMNS = "name string, group_id long, place long, current_run_started timestamp_ntz, last_success_finished timestamp_ntz, last_failure_finished timestamp_ntz, current_run_rows long, last_success_rows long"
-_VALUES = values(_STATES, "name, group_id, place, current_run_started, last_success_finished, last_failure_finished, current_run_rows, last_success_rows")
+_PER_TARGET = """SELECT n_name AS name, CASE WHEN n_nationkey % 6 <> 5 THEN n_nationkey % 4 END AS group_id, n_nationkey AS place,
+    max(CASE WHEN n_nationkey % 5 = 0 AND o_orderstatus = 'P' THEN o_orderdate END) AS current_run_started, max(CASE WHEN n_nationkey % 3 <> 0 AND o_orderstatus = 'F' THEN o_orderdate END) AS last_success_finished,
+    max(CASE WHEN n_nationkey % 2 = 0 AND o_orderstatus = 'O' THEN o_orderdate END) AS last_failure_finished, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS current_run_rows,
+    CASE WHEN n_nationkey % 3 <> 0 THEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) END AS last_success_rows
+  FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name, n_nationkey"""
 _STATUS = "CASE WHEN current_run_started IS NOT NULL THEN 'RUNNING' WHEN last_success_finished IS NULL AND last_failure_finished IS NULL THEN 'NEW' WHEN last_failure_finished > coalesce(last_success_finished, TIMESTAMP '0001-01-01') THEN 'FAILED' ELSE 'OK' END"
+_VALUES = f"({_PER_TARGET}) t"
+
 
+def _targets(spark, sf_dir) -> DataFrame:
+    """A target a nation: its runs are its customers' orders, of which some are open, done or failed."""
+    sources(spark, sf_dir, "nation", "customer", "orders")
+    return spark.sql(_PER_TARGET)
 
-def _states(spark) -> DataFrame:
-    rows = spark.createDataFrame(_STATES, _STATE_COLUMNS)
-    return rows.withColumn("status", render.run_status(*map(F.col, ("current_run_started", "last_success_finished", "last_failure_finished"))))
+
+def _states(spark, sf_dir) -> DataFrame:
+    return _targets(spark, sf_dir).withColumn("status", render.run_status(*map(F.col, ("current_run_started", "last_success_finished", "last_failure_finished"))))
 
 
 @register(f"SELECT name, {_STATUS} AS status FROM {_VALUES}")
 def run_status(spark, sf_dir):
-    return _states(spark).select("name", "status")
+    return _states(spark, sf_dir).select("name", "status")
 
 
 @register(f"SELECT name, CAST(CASE WHEN current_run_started IS NOT NULL THEN current_run_rows ELSE last_success_rows END AS BIGINT) AS rows_shown FROM {_VALUES}")
 def status_display(spark, sf_dir):
-    return _states(spark).select("name", render.rows_shown(*map(F.col, ("current_run_started", "current_run_rows", "last_success_rows"))).alias("rows_shown"))
+    return _states(spark, sf_dir).select("name", render.rows_shown(*map(F.col, ("current_run_started", "current_run_rows", "last_success_rows"))).alias("rows_shown"))
 
 
 @register(f"""SELECT coalesce(CAST(group_id AS VARCHAR), 'Ungrouped') AS group_name, CASE WHEN bool_or(s = 'RUNNING') THEN 'Running' WHEN bool_or(s = 'FAILED') THEN 'Failed' ELSE 'OK' END AS status,
   max(greatest(last_success_finished, last_failure_finished)) AS finished, count(*) AS targets FROM (SELECT *, {_STATUS} AS s FROM {_VALUES}) GROUP BY 1""")
 def group_rollup(spark, sf_dir):
-    return status.group_rollup(_states(spark).withColumn("finished", F.greatest("last_success_finished", "last_failure_finished")))
+    return status.group_rollup(_states(spark, sf_dir).withColumn("finished", F.greatest("last_success_finished", "last_failure_finished")))
 
 
-@register("SELECT n AS name, s AS status, r::BIGINT AS rows_shown, c::BIGINT AS row_count FROM (VALUES ('t', 'OK', 15000, 7), ('u', 'NEW', NULL, NULL)) v(n, s, r, c)")
+@register(f"""{_LOADS_SQL}, held AS (SELECT *, k % 2 <> 0 AS running, k % 2 = 0 AS ok, k % 3 = 0 AS failed FROM loads WHERE k % 7 <> 0)
+SELECT n_name AS name, CASE WHEN h.k IS NULL THEN 'NEW' WHEN running THEN 'RUNNING' WHEN failed THEN 'FAILED' ELSE 'OK' END AS status,
+  CASE WHEN running THEN h.rows WHEN ok THEN h.rows END AS rows_shown, CASE WHEN n_nationkey % 5 <> 0 THEN coalesce(l.rows, 0) END::BIGINT AS row_count
+FROM nation LEFT JOIN held h ON h.target_name = n_name LEFT JOIN loads l ON l.k = n_nationkey""")
 def status_join(spark, sf_dir):
     """Configured targets, their states and counts; a target without a state is NEW."""
-    config = spark.createDataFrame([("t", 1), ("u", None)], "name string, group_id long")
-    counts = spark.createDataFrame([("t", 7), ("gone", 1)], "name string, row_count long")
-    rows = status.status(config, st.frame(spark, [_run(_begin, _progressed, _finished)]), counts)
-    return rows.select("name", "status", "rows_shown", "row_count")
+    loads = _loads(spark, sf_dir)
+    held = _held(loads.where("k % 7 <> 0"), "begin", "progress", "finish", "fail").where("target_name is not null")
+    # What failed before it began runs again: as after a new begin.
+    open_ = loads.where("k % 7 <> 0 and k % 2 <> 0").select("target_name", F.lit("updated_at").alias("wm_column"), F.lit("r").alias("run_id"), _at(9).alias("at"))
+    held = st.progressed(st.begun(held, open_), loads.where("k % 7 <> 0 and k % 2 <> 0 and rows > 0").select("target_name", F.lit("TIMESTAMP").alias("kind"), "wm", "rows"))
+    config = loads.select(F.col("target_name").alias("name"), (F.col("k") % 4).alias("group_id"))
+    counts = loads.where("k % 5 <> 0").select(F.col("target_name").alias("name"), F.col("rows").alias("row_count"))
+    return status.status(config, held, counts).select("name", "status", "rows_shown", "row_count")
 
 
-@register("SELECT * FROM (VALUES ('t', '2026-04-17 16:05:41.250017'), ('other', NULL)) v(name, wm)")
+@register(f"{_LOADS_SQL} SELECT target_name AS name, CASE WHEN k % 4 <> 0 THEN strftime(wm, '%Y-%m-%d %H:%M:%S.%f') END AS wm FROM loads WHERE rows > 0")
 def status_unknown_target(spark, sf_dir):
     """A state whose target is not configured shows no watermark and is no error."""
-    states = st.frame(spark, [_run(_begin, _progressed), st.progress(st.begin(None, dataclasses.replace(_SPEC, name="other"), "r", _clock()), _SPEC, "2026-01-01 00:00:00", 1)])
-    kinds = spark.createDataFrame([("t", "TIMESTAMP")], "name string, kind string")
-    rows = states.join(kinds, states["target_name"] == kinds["name"], "left")
+    loads = _loads(spark, sf_dir).where("rows > 0")
+    kinds = loads.where("k % 4 <> 0").select(F.col("target_name").alias("name"), F.lit("TIMESTAMP").alias("kind"))
+    rows = _held(loads, "begin", "progress").join(kinds, F.col("target_name") == F.col("name"), "left")
     mark = F.when(F.col("kind") == "TIMESTAMP", watermark.rendered(F.col("last_wm_timestamp"))).when(F.col("kind") == NUMBER, F.col("last_wm_number").cast("string"))
     return rows.select(F.col("target_name").alias("name"), mark.alias("wm"))
 
 
-@register(f"SELECT name FROM {_VALUES} WHERE contains(lower(name), 'line')")
+@register(f"SELECT name FROM {_VALUES} WHERE contains(lower(name), 'ion_1')")
 def status_name_filter(spark, sf_dir):
-    return status.named_like(_states(spark), "LiNe").select("name")
+    return status.named_like(_states(spark, sf_dir), "IoN_1").select("name")
 
 
-@register("SELECT * FROM (VALUES (1::BIGINT, 'a'), (1, 'b'), (2, 'c_Lines'), (3, 'd_lines'), (4, 'e')) v(step, name)")
+@register(f"SELECT dense_rank() OVER (ORDER BY group_id IS NULL, coalesce(group_id, place))::BIGINT AS step, name FROM {_VALUES}")
 def group_schedule(spark, sf_dir):
-    return status.schedule(_states(spark))
+    return status.schedule(_states(spark, sf_dir))
 
 
 @register(f"SELECT name FROM {_VALUES} WHERE group_id = 1")
 def group_filter(spark, sf_dir):
-    return _states(spark).where("group_id = 1").select("name")
+    return _states(spark, sf_dir).where("group_id = 1").select("name")
 
 
 @register("SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'skipped' ELSE 'run' END AS decision FROM nation WHERE n_nationkey < 20")
@@ -613,11 +575,23 @@ def lock_partition(spark, sf_dir):
 # Configuration, errors, migrations.
 
 
-@register("""SELECT * FROM (VALUES ('bad', 'initialWm'), ('bad', 'keyColumns'), ('bad', 'lookbackMinutes'), ('bad', 'pageSize'), ('bad', 'sourceQuery'), ('bad', 'sourceQuery')) v(target, about)""")
+_CONFIG = """SELECT 't' || c_custkey AS name, CASE WHEN c_custkey % 11 = 0 THEN 'OTHER' WHEN c_custkey % 3 = 0 THEN 'NUMBER' ELSE 'TIMESTAMP' END AS watermark_type,
+    CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN CAST(c_acctbal AS DECIMAL(18,2))::STRING ELSE '2026-04-17 10:00:00' END AS initial_wm, c_custkey % 5 AS n_keys, c_custkey % 9 - 1 AS page_size,
+    c_nationkey - 3 AS lookback, CASE WHEN c_custkey % 13 = 0 THEN 'DELETE FROM t' ELSE 'SELECT id FROM t WHERE ' END || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/*WM*/ AND /*WM*/' ELSE '/*WM*/' END AS source_query FROM customer"""
+
+
+@register(f"""WITH c AS ({_CONFIG.replace('::STRING', '::VARCHAR')})
+SELECT name AS target, 'watermarkType' AS about FROM c WHERE watermark_type = 'OTHER'
+UNION ALL SELECT name, 'initialWm' FROM c WHERE watermark_type = 'TIMESTAMP' AND NOT regexp_full_match(initial_wm, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9:]{{8}}') OR watermark_type = 'NUMBER' AND TRY_CAST(initial_wm AS DECIMAL(38,10)) IS NULL
+UNION ALL SELECT name, 'keyColumns' FROM c WHERE n_keys = 0
+UNION ALL SELECT name, 'pageSize' FROM c WHERE page_size <= 0
+UNION ALL SELECT name, 'lookbackMinutes' FROM c WHERE lookback < 0 OR lookback > 0 AND watermark_type = 'NUMBER'
+UNION ALL SELECT name, 'sourceQuery' FROM c WHERE source_query LIKE 'DELETE%'
+UNION ALL SELECT name, 'sourceQuery' FROM c WHERE (length(source_query) - length(replace(source_query, '/*WM*/', ''))) // 6 <> 1""")
 def config_validate(spark, sf_dir):
-    bad = dataclasses.replace(_SPEC, name="bad", initialWm="2026-04-17", keyColumns=(), pageSize=0, lookbackMinutes=-1, sourceQuery="DELETE FROM t")
-    rows = [(f.target, f.message) for f in validate.findings([_SPEC, bad])]
-    return spark.createDataFrame(rows, "target string, message string").where("message not like 'could not%'").select("target", F.regexp_extract("message", "^(\\w+)", 1).alias("about"))
+    """Findings about a table of targets, one customer each."""
+    sources(spark, sf_dir, "customer")
+    return validate.findings_table(spark.sql(_CONFIG)).select("target", "about")
 
 
 @register("SELECT 't' || (c_custkey * 7 % 100) AS name FROM customer GROUP BY 1 HAVING count(*) > 1")
@@ -625,35 +599,46 @@ def config_duplicate_names(spark, sf_dir):
     return validate.repeated_names(table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), (F.col("c_custkey") * 7 % 100).cast("string")).alias("name")))
 
 
-@register("SELECT unnest(['ORDER_ID', 'UPDATED_AT', 'AMOUNT']) AS column_name, unnest([1, 2, 3])::BIGINT AS place")
+@register("""WITH t AS (SELECT c_custkey, [x for x in ['A' || c_custkey, 'B', c_mktsegment] if c_custkey % 3 > 0 OR x <> 'B'] AS cols FROM customer WHERE c_custkey % 5 <> 0)
+SELECT c_custkey, cols[i] AS column_name, i::BIGINT AS place FROM (SELECT *, unnest(range(1, len(cols) + 1)) AS i FROM t)""")
 def insert_columns_extract(spark, sf_dir):
-    names = sqltext.insert_columns("INSERT /*+ APPEND_VALUES */ INTO STG_ORDERS (ORDER_ID, UPDATED_AT, AMOUNT) VALUES (?, ?, ?)")
-    return spark.createDataFrame([(n, k) for k, n in enumerate(names, 1)], "column_name string, place long")
-
+    """The columns of INSERT texts, one a customer; every fifth has no list."""
+    key = F.col("c_custkey").cast("string")
+    listed = F.concat(F.lit("(A"), key, F.when(F.col("c_custkey") % 3 > 0, ", B").otherwise(""), F.lit(" ,"), F.col("c_mktsegment"), F.lit(")"))
+    text = F.concat(F.lit("INSERT /*+ APPEND_VALUES */ INTO STG_"), key, F.when(F.col("c_custkey") % 5 == 0, "").otherwise(listed), F.lit(" VALUES (?, ?)"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(sqltext.inserted_columns(text)).alias("k", "column_name"))
+    return rows.select("c_custkey", "column_name", (F.col("k") + 1).cast("long").alias("place"))
 
-_MARKS = [("2026-04-17 10:00:00",), ("2026-04-17 10:00:00.123456",), ("2026-04-17",), ("2026-04-17T10:00:00",), ("2026-04-17 10:00:00.1234567",), ("x",), (None,)]
 
-
-@register(f"SELECT text, CASE WHEN regexp_full_match(text, '\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d{{1,6}})?') THEN TRY_CAST(text AS TIMESTAMP) END AS mark FROM {values(_MARKS, 'text')}")
+@register("""SELECT o_orderkey, text, CASE WHEN regexp_full_match(text, '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}(\\.\\d{1,6})?') THEN TRY_CAST(text AS TIMESTAMP) END AS mark FROM (
+  SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.1234567' WHEN 4 THEN o_orderpriority ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS text FROM orders)""")
 def parse_watermark_text(spark, sf_dir):
-    return spark.createDataFrame(_MARKS, "text string").select("text", watermark.parsed(F.col("text"), "TIMESTAMP").alias("mark"))
+    """Order dates as text in right and wrong forms."""
+    sources(spark, sf_dir, "orders")
+    forms = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss'.1234567'", None, "yyyy-MM-dd HH:mm:ss"]
+    text = F.col("o_orderpriority")
+    for k, form in enumerate(forms):
+        text = F.when(F.col("o_orderkey") % 6 == k, F.date_format("o_orderdate", form)).otherwise(text) if form else text
+    return spark.table("orders").select("o_orderkey", text.alias("text")).withColumn("mark", watermark.parsed(F.col("text"), "TIMESTAMP"))
 
 
-_MESSAGES = [("HTTP 401",), ("Token expired",), ("ORA-02396: exceeded SESSION time",), ("Login required",), ("ORA-00904: invalid identifier",), ("",), (None,)]
+_MESSAGE = "CASE event_id % 8 WHEN 0 THEN 'HTTP 401 for ' || event_type WHEN 1 THEN 'Token of ' || user_id || ' expired' WHEN 2 THEN 'exceeded SESSION time' WHEN 3 THEN 'Login required: ' || event_type WHEN 4 THEN 'ORA-00904: ' || event_type WHEN 5 THEN props WHEN 6 THEN '' END"
 
 
-@register("SELECT message, " + " OR ".join(f"contains(lower(coalesce(message, '')), '{w}')" for w in ("401", "unauthorized", "authentication", "token", "session", "login")) + f" AS is_auth FROM {values(_MESSAGES, 'message')}")
+@register(f"SELECT event_id, message, " + " OR ".join(f"contains(lower(coalesce(message, '')), '{w}')" for w in ("401", "unauthorized", "authentication", "token", "session", "login")) + f" AS is_auth FROM (SELECT event_id, {_MESSAGE} AS message FROM events)")
 def auth_error_classify(spark, sf_dir):
-    return spark.createDataFrame(_MESSAGES, "message string").select("message", render.looks_like_auth(F.col("message")).alias("is_auth"))
-
-
-_MANIFEST = "# migrations\n\n001_init.sql\n002_typed.sql\n  003_keys.sql  \n"
+    sources(spark, sf_dir, "events")
+    return spark.sql(f"SELECT event_id, {_MESSAGE} AS message FROM events").withColumn("is_auth", render.looks_like_auth(F.col("message")))
 
 
-@register("SELECT id, place::BIGINT AS place FROM (VALUES ('001_init.sql', 1), ('002_typed.sql', 2), ('003_keys.sql', 3)) m(id, place) WHERE id NOT IN ('001_init.sql')")
+@register("SELECT trim(c_name) AS id, c_custkey AS place FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
 def migrations_pending(spark, sf_dir):
-    ids = spark.createDataFrame([(x, k) for k, x in enumerate(migrate.manifest_ids(_MANIFEST), 1)], "id string, place long")
-    return migrate.pending(ids, spark.createDataFrame([("001_init.sql",)], "id string"))
+    """A manifest with a line a customer, every fourth a comment, without those that some order has applied."""
+    line = F.concat(F.when(F.col("c_custkey") % 4 == 0, "# ").otherwise("  "), F.col("c_name"), F.lit(" "))
+    lines = table(spark, sf_dir, "customer").select(line.alias("line"), F.col("c_custkey").alias("place"))
+    blank = lines.select(F.lit(" ").alias("line"), "place").limit(3)
+    done = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("id"))
+    return migrate.pending(migrate.listed(lines.unionByName(blank)), done)
 
 
 @register(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {t}" for t in TABLES))
@@ -703,7 +688,8 @@ def metrics_histogram(spark, sf_dir):
     return metrics.histogram(_log(spark, sf_dir).where("event = 'page'"), "seconds", "target")
 
 
-@register("SELECT * FROM (VALUES (1::BIGINT, 'o_orderkey', 'NUMBER', 1::BIGINT), (2, 'o_custkey', 'NUMBER', NULL), (3, 'o_orderstatus', 'VARCHAR2', NULL), (4, 'o_totalprice', 'DOUBLE', NULL), (5, 'o_orderdate', 'TIMESTAMP', NULL), (6, 'o_orderpriority', 'VARCHAR2', NULL)) v(place, column_name, column_type, key_place)")
+@register("""SELECT row_number() OVER () AS place, column_name, CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'NUMBER' WHEN column_type = 'VARCHAR' THEN 'VARCHAR2' ELSE column_type END AS column_type,
+  CASE WHEN column_name = 'o_orderkey' THEN 1::BIGINT END AS key_place FROM (DESCRIBE orders)""")
 def ddl_columns(spark, sf_dir):
     return introspect.columns(spark, table(spark, sf_dir, "orders"), ["o_orderkey"])
 
@@ -766,30 +752,23 @@ def overlapping_spans(spark, sf_dir):
     return found.where("l.o_orderkey < r.o_orderkey").select("l.o_custkey", F.col("l.o_orderkey").alias("one"), F.col("r.o_orderkey").alias("other"))
 
 
-_TIMES = [(datetime(2026, 4, 17, 10, 0, 0),), (datetime(1999, 12, 31, 23, 59, 59, 123456),)]
-
-
-@register(f"SELECT strftime(moment, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', moment)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM {values(_TIMES, 'moment')}")
+@register("SELECT event_id, strftime(moment, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', moment)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM (SELECT event_id, ts + to_milliseconds(event_id % 1000) AS moment FROM events)")
 def iso_utc_format(spark, sf_dir):
-    """Instants, made from their microseconds: the same text in any session zone."""
-    rows = spark.createDataFrame([(int(t.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000 + t.microsecond,) for (t,) in _TIMES], "micros long")
-    return rows.select(render.iso_utc(F.timestamp_micros("micros")).alias("iso"))
-
-
-_MS = [(0,), (999,), (5_000,), (59_999,), (60_000,), (125_400,), (3_600_000,)]
+    """Events' instants, made from their microseconds: the same text in any session zone."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) + F.col("event_id") % 1000 * 1000
+    return table(spark, sf_dir, "events").select("event_id", render.iso_utc(F.timestamp_micros(micros)).alias("iso"))
 
 
-@register(f"SELECT ms::BIGINT AS ms, CASE WHEN ms // 1000 < 60 THEN (ms // 1000)::VARCHAR || 's' ELSE (ms // 60000)::VARCHAR || 'm ' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || 's' END AS shown FROM {values(_MS, 'ms')}")
+@register("SELECT o_orderkey, ms, CASE WHEN ms // 1000 < 60 THEN (ms // 1000)::VARCHAR || 's' ELSE (ms // 60000)::VARCHAR || 'm ' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || 's' END AS shown FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 37 % 5000000)::BIGINT AS ms FROM orders)")
 def format_duration(spark, sf_dir):
-    return spark.createDataFrame(_MS, "ms long").select("ms", render.duration(F.col("ms")).alias("shown"))
-
-
-_AGO = [(0,), (59,), (60,), (3_599,), (3_600,), (86_399,), (86_400,), (1_000_000,)]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 37 % 5_000_000).alias("ms"))
+    return rows.withColumn("shown", render.duration(F.col("ms")))
 
 
-@register(f"SELECT s::BIGINT AS s, CASE WHEN s < 60 THEN s::VARCHAR || 's ago' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS shown FROM {values(_AGO, 's')}")
+@register("SELECT o_orderkey, s, CASE WHEN s < 60 THEN s::VARCHAR || 's ago' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS shown FROM (SELECT o_orderkey, (o_orderkey * o_orderkey % CASE WHEN o_orderkey % 2 = 0 THEN 4000 ELSE 1000000 END)::BIGINT AS s FROM orders)")
 def format_relative(spark, sf_dir):
-    return spark.createDataFrame(_AGO, "s long").select("s", render.ago(F.col("s")).alias("shown"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") % F.when(F.col("o_orderkey") % 2 == 0, 4_000).otherwise(1_000_000)).alias("s"))
+    return rows.withColumn("shown", render.ago(F.col("s")))
 
 
 # Any SELECT with a marker is a source.

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.sqltext import statement
 from tidemark.sources import files
@@ -16,6 +17,12 @@ def manifest_ids(text: str) -> list[str]:
     return [x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
 
 
+def listed(lines: DataFrame) -> DataFrame:
+    """``manifest_ids`` of a table of lines (line, place): (id, place)."""
+    ids = lines.select(F.trim("line").alias("id"), "place")
+    return ids.where((F.col("id") != "") & ~F.col("id").startswith("#"))
+
+
 def pending(ids: DataFrame, applied: DataFrame) -> DataFrame:
     """(id, place) of the manifest that the ledger lacks, in manifest order."""
     return ids.join(applied, "id", "left_anti").orderBy("place")
