@@ -7,8 +7,10 @@ import json
 import logging
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from tidemark.functions import statements
+from tidemark.operators import staging
 from tidemark.plans.runner import QueueFull, RunManager
-from tidemark.sources import catalog, introspect
+from tidemark.sources import catalog, files, introspect
 
 log = logging.getLogger("tidemark")
 
@@ -85,7 +87,23 @@ def _ddl(manager: RunManager, spec) -> dict:
         text = introspect.ddl(spec.targetTable, table.read().schema, spec.keyColumns) if there else "-- not loaded yet"
     except Exception as e:
         there, text = False, f"-- not readable: {str(e).splitlines()[0]}"
-    return {"targetDdl": text, "targetTableExists": there}
+    return {"targetDdl": text, "targetTableExists": there} | _staging(manager, spec)
+
+
+def _staging(manager: RunManager, spec) -> dict:
+    """The staged page's columns, by analysis of the source, and whether a load has left one."""
+    spark = manager.engine.spark
+    try:
+        own = statements.resolved(spec, spark)
+        staged = staging.typed(staging.positional(catalog.source(spark, own), own.insertColumns), own)
+        text = introspect.ddl(spec.stagingTable or f"{spec.name} (staged)", staged.schema)
+    except Exception as e:
+        text = f"-- not readable: {str(e).splitlines()[0]}"
+    try:
+        there = bool(files.names(spark, f"{manager.engine.warehouse}/_staging/{spec.name}"))
+    except Exception:
+        there = False
+    return {"stagingDdl": text, "stagingTableExists": there}
 
 
 def server(manager: RunManager, port: int = 8080) -> ThreadingHTTPServer:

@@ -50,8 +50,8 @@ def quantiles(kept: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95,
     return merged.select(by, F.inline(F.array(*one)), "n")
 
 
-#: Timers: series, event and field that they measure, further labels.
-TIMERS = (("etl_page_duration_seconds", "page", "page_seconds", ()), ("etl_merge_duration_seconds", "page", "merge_seconds", ()), ("etl_run_duration_seconds", "run", "seconds", ("status",)), ("etl_batch_duration_seconds", "batch", "seconds", ()))
+#: Timers: series, event and field that they measure, further labels.  A page's fetch is timed with its page, an empty one alone.
+TIMERS = (("etl_page_duration_seconds", "page", "page_seconds", ()), ("etl_page_duration_seconds", "fetch", "page_seconds", ()), ("etl_merge_duration_seconds", "page", "merge_seconds", ()), ("etl_run_duration_seconds", "run", "seconds", ("status",)), ("etl_batch_duration_seconds", "batch", "seconds", ()))
 
 
 class StreamTotals(StreamingQueryListener):

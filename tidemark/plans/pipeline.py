@@ -146,6 +146,8 @@ class Engine:
         least = (lambda: table.rows()) if together else (lambda: 1)
         for staged, found in self._fetched(spec, run_id, wm, keys, staging, least):
             if not found["rows"]:
+                # A fetch that finds nothing takes its time, too.
+                self._tell(spec, run_id, "fetch", page_seconds=time.monotonic() - began)
                 break
             rows, fetched = rows + found["rows"], time.monotonic()
             mark = max(found["wm"], stored) if spec.monotonic and stored is not None else found["wm"]
