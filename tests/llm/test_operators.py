@@ -661,3 +661,10 @@ def test_golay_code_is_perfect():
 def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.one_of_each(empty).columns == empty.columns
+
+
+def test_items_that_repeat_are_one(spark):
+    """However often an item's row is there, a block holds it once."""
+    items = spark.range(500).select(F.lit(7).alias("item_id"), F.lit("one two three four").alias("text"))
+    blocks = list(decontaminate.item_blocks(items.union(spark.createDataFrame([(8, "five six")], "item_id int, text string")), most=10))
+    assert sorted(x for b in blocks for x in b) == [("7", b"one two three four"), ("8", b"five six")]

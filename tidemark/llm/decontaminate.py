@@ -159,9 +159,9 @@ class Automaton:
 
 def item_blocks(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of about ``most`` words, each with an item more than that at
-    most; the driver holds one block at a time."""
+    most; the driver holds one block at a time.  Rows of equal name and text are one item."""
     words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
-    rows = items.select(F.col("item_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("text"), words.alias("n")).where("n > 0")
+    rows = items.select(F.col("item_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("text"), words.alias("n")).where("n > 0").dropDuplicates(["name", "text"])
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = max(1, -(-total // most))
     for k in range(n):
