@@ -104,6 +104,12 @@ class WordTokenizer(WholeTokenizer):
     def __init__(self, path: str):
         super().__init__(path)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Ids that end a word, where the tokenizer marks them.
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
@@ -134,6 +140,9 @@ class WordTokenizer(WholeTokenizer):
             if mark or word != x:
                 made_of.append((x, word, mark))
         words = [w for w in words if w not in known]
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        if plain and self._learn_plain(plain):
+            words = [w for w in words if w not in known]
         if words:
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             starts = np.cumsum(lengths + 1) - lengths - 1
@@ -149,6 +158,20 @@ class WordTokenizer(WholeTokenizer):
             known[x] = known[word] + known[mark] if mark else known[word]
 
 
+    def _learn_plain(self, words: list[str]) -> bool:
+        """Words of ASCII letters are one piece each, of which one id ends it: their places in the
+        text need not be kept.  False, and nothing learned, if the ids do not show that."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return False
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = data[4 * at : 4 * end]
+            at = end
+        return True
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WholeTokenizer:
     """One per worker and file: what it remembers serves the worker's later tasks."""
