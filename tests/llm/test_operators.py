@@ -99,6 +99,31 @@ def test_remembered_words_change_no_ids(text):
         assert own.encode(t) == np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_spellings_of_a_word_are_encoded_once():
+    """Case, accents and marks behind a word need no run of the whole tokenizer, and give its ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = token_files.WordTokenizer(path), Tokenizer.from_file(path)
+    letters = [chr(c) + d + m for c in range(0x21, 0x250) for d in ("A", "é", "İ", "\u0301", "'") for m in ("", "!?", "'s", "''", "<|")]
+    for text in ("Étionçment, ÉTIONÇMENT$$$ étionçment.", " ".join(letters)):
+        assert own.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    class Counted:
+        def __init__(self):
+            self.calls = 0
+
+        def encode(self, *a, **k):
+            self.calls += 1
+            return plain.encode(*a, **k)
+
+    own = token_files.WordTokenizer(path)
+    own.tokenizer = own.known.tokenizer = counted = Counted()
+    own.encode("Étionçment, ÉTIONÇMENT$$$ étionçment. Größe GRÖßE, plain Plain. PLAIN***")
+    assert counted.calls == 4  # the marks
+
+
 def test_other_tokenizers_get_whole_texts(docs, rows, tmp_path):
     """A byte-level tokenizer keeps case and spaces: its ids are not those of pieces."""
     import public_tokenizers

@@ -23,6 +23,7 @@ import functools
 import io
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -41,6 +42,10 @@ BLOCK = 1 << 16
 PLANES = 4
 #: Words a tokenizer remembers in one worker, and the longest that it remembers.
 REMEMBERED, LONGEST = 600_000, 48
+#: A split that is known to keep runs together, and a run of Latin letters with a run of marks after it.  Letters
+#: up to U+017F but for the dotted capital I have one letter as lower case, and no other normal form.
+SPLIT_BY_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RUNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@[-`{-~]*)")
 
 #: Documents of a shard at most; their ids and lengths stay in memory until it is closed.
 SHARD_DOCS = 500_000
@@ -94,6 +99,15 @@ def splits_at_spaces(path: str) -> bool:
     return not any(c in piece for piece in found for c in spaces) and found[-4:] == ["word", ",", "word", "."]
 
 
+def splits_by_runs(path: str) -> bool:
+    """Whether a tokenizer that splits at spaces makes one word of every run of letters, and of
+    every run of marks but apostrophes, and hands both to a byte-level model in lower case."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"].get("pretokenizers", [])
+    return len(pre) == 2 and pre[0]["pattern"] == {"Regex": SPLIT_BY_RUNS} and pre[1]["type"] == "ByteLevel" and spec["model"]["type"] == "BPE"
+
+
 class WordTokenizer(WholeTokenizer):
     """A tokenizer that drops white space, with its words' ids remembered.
 
@@ -103,73 +117,47 @@ class WordTokenizer(WholeTokenizer):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known: dict[str, bytes] = {}
-        with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Ids that end a word, where the tokenizer marks them.
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.known = Pieces(self.tokenizer, splits_by_runs(path))
 
     def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = set(pieces).difference(self.known)
-        long = {x for x in new if len(x) > LONGEST}
-        if new:
-            self._learn(new - long)
-        if long:
-            once = {x: super(WordTokenizer, self).encode(x) for x in long}
-            return b"".join([once[x] if x in once else self.known[x] for x in pieces])
-        return b"".join(map(self.known.__getitem__, pieces))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces.  An ASCII word in lower case, and a comma or full stop after
-        it, stand for themselves, so that all spellings of a word are encoded once."""
-        known, words, made_of = self.known, set(), []
-        for x in pieces:
-            if not x.isascii() or "<|" in x:  # names of special tokens are told by case
-                words.add(x)
-                continue
-            word, mark = x.lower(), ""
-            if word[-1:] in (",", ".") and word[:-1].isalpha():
-                word, mark = word[:-1], word[-1]
-                words.add(mark)
-            words.add(word)
-            if mark or word != x:
-                made_of.append((x, word, mark))
-        words = [w for w in words if w not in known]
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        if plain and self._learn_plain(plain):
-            words = [w for w in words if w not in known]
-        if words:
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            starts = np.cumsum(lengths + 1) - lengths - 1
-            made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            ids = np.asarray(made.ids, "<u4")
-            owner = np.searchsorted(starts, np.fromiter((a for a, _ in made.offsets), np.int64, len(ids)), "right") - 1
-            ends = np.searchsorted(owner, np.arange(len(words)), "right").tolist()
-            data, at = ids.tobytes(), 0
-            for word, end in zip(words, ends):
-                known[word] = data[4 * at : 4 * end]
-                at = end
-        for x, word, mark in made_of:
-            known[x] = known[word] + known[mark] if mark else known[word]
-
-
-    def _learn_plain(self, words: list[str]) -> bool:
-        """Words of ASCII letters are one piece each, of which one id ends it: their places in the
-        text need not be kept.  False, and nothing learned, if the ids do not show that."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return False
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self.known[word] = data[4 * at : 4 * end]
-            at = end
-        return True
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+class Pieces(dict):
+    """Ids of pieces without blanks; one that is not there yet is encoded when it is asked for.
+
+    ``by_runs``: the tokenizer's file shows that a run of letters is one word for its model, and
+    a run of marks behind it another.  Then Latin letters, in lower case, go straight to the model,
+    and all spellings of a word are encoded once.
+    """
+
+    def __init__(self, tokenizer, by_runs: bool):
+        super().__init__()
+        self.tokenizer, self.model, self.by_runs = tokenizer, tokenizer.model, by_runs
+        self.as_bytes = {}
+        if by_runs:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            level = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180) if _RUNS.fullmatch(chr(c))}
+
+    def __missing__(self, piece: str) -> bytes:
+        runs = _RUNS.fullmatch(piece) if self.by_runs else None
+        if runs is None:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        elif runs[2]:
+            found = self[runs[1].lower()] + self[runs[2]]
+        elif (word := piece.lower()) != piece:
+            found = self[word]
+        else:
+            made = self.model.tokenize(word if word.isascii() else word.translate(self.as_bytes))
+            found = struct.pack(f"<{len(made)}I", *[t.id for t in made])
+        if len(piece) <= LONGEST:
+            self[piece] = found
+        return found
 
 
 @functools.lru_cache(maxsize=2)
