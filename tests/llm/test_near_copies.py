@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tidemark.llm import near_copies
@@ -71,3 +73,18 @@ def test_awkward_rows(spark):
     long = prose(99, 20_000)
     made = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE  two"), (6, "one"), (7, long), (8, long + " end"), (9, "a b c d e"), (9, "a b c d e")]
     assert stage(spark, made) == [1, 4, 6, 7, 9]
+
+
+def test_candidates_share_golay_keys():
+    """Equal exact parts and segments at most two bits apart share a key; pairs at about 0.8 share one, unlike texts none."""
+    r = np.random.default_rng(3)
+    exact = r.integers(0, 1 << 63, (500, near_copies.BANDS), np.uint64)
+    words = r.integers(0, 1 << 23, (500, near_copies.BANDS))
+    near = words ^ (1 << r.integers(0, 23, words.shape)) ^ (1 << r.integers(0, 23, words.shape))
+    a, b = (set(zip(*(x.tolist() for x in near_copies.golay_keys(exact, w)))) for w in (words, near))
+    assert {row for _, row in a & b} == set(range(500)) and len(a) <= 6 * words.size
+    for k in range(20):
+        text = prose(k, 300).split()
+        sets = [near_copies.shingles(t.encode(), 5) for t in (" ".join(text), edited(k, text, 6), prose(1000 + k, 300))]
+        bits = [np.bitwise_count((near_copies.segments(sets[0]) ^ near_copies.segments(x)).astype(np.uint32)).sum() / (23 * near_copies.BANDS) for x in sets[1:]]
+        assert bits[0] < 0.25 and 0.4 < bits[1] < 0.6

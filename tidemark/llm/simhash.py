@@ -111,17 +111,22 @@ def nearest_codeword(words: np.ndarray) -> np.ndarray:
     return (words ^ errors[(words & ((1 << CHECK) - 1)) ^ check[words >> CHECK]]) >> CHECK
 
 
+def codeword_indices(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index) without repeats: the codewords that words of so many bits and their one-bit neighbours decode to."""
+    codes = np.sort(nearest_codeword(words[:, None] ^ np.array([0, *(1 << k for k in range(bits))])), axis=1)
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    rows, at = np.nonzero(new)
+    return rows, codes[rows, at]
+
+
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, fingerprint) rows: all keys of each fingerprint, without repeats."""
     values, keys, owners = fps.view(np.uint64), [], []
     cut = [((values >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
     for pair, (exact, decoded) in enumerate(PAIRS):
-        flips = np.array([0, *(1 << k for k in range(SEGMENTS[decoded][1]))])
-        codes = np.sort(nearest_codeword(cut[decoded][:, None] ^ flips), axis=1)
-        new = np.ones(codes.shape, bool)
-        new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-        rows, at = np.nonzero(new)
-        keys.append((cut[exact][rows] << (DATA + 2)) | (codes[rows, at] << 2) | pair)
+        rows, codes = codeword_indices(cut[decoded], SEGMENTS[decoded][1])
+        keys.append((cut[exact][rows] << (DATA + 2)) | (codes << 2) | pair)
         owners.append(fps[rows])
     return np.concatenate(keys), np.concatenate(owners)
 
