@@ -563,6 +563,18 @@ def test_twice_seen_filter_has_no_misses():
 # Quality.
 
 
+def test_training_rows_stay_arrays():
+    """The driver cuts the gathered features from the columns, whatever their chunks."""
+    import pyarrow as pa
+
+    kind = pa.schema([("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
+    parts = [pa.table({"at": a, "x": [[v / 2 for v in r] for r in a]}, kind) for a in ([[9], [1, 2]], [[3]], [[], [4, 5, 6]])]
+    for rows in (pa.concat_tables([parts[0].slice(1), *parts[1:]]), parts[0].slice(0, 0)):
+        at, x, ends = quality._flat(rows)
+        assert [at[a:b].tolist() for a, b in zip(ends, ends[1:])] == rows["at"].to_pylist()
+        assert [x[a:b].tolist() for a, b in zip(ends, ends[1:])] == rows["x"].to_pylist()
+
+
 def test_quality_learns_structure(spark, docs):
     junk = lambda k: " ".join(w + "$$$" for w in prose(k, 40).split())
     made = [(k, junk(k) if k % 4 == 0 else prose(k, 40), None, None, None) for k in range(600)]

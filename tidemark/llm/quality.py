@@ -144,8 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = rows.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "label", "first.text")
     got = rows.mapInArrow(run, f"{typed(docs, 'doc_id')}, label int, at array<int>, x array<float>").toArrow()
     order = sorted(range(got.num_rows), key=lambda k, ids=got["doc_id"].to_pylist(), ls=got["label"].to_pylist(): (ids[k], ls[k]))
-    at, x, y = got["at"].to_pylist(), got["x"].to_pylist(), got["label"].to_pylist()
-    return fit([(np.array(at[k]), np.array(x[k])) for k in order], np.array([y[k] for k in order], np.float64))
+    y, (at, x, ends) = got["label"].to_numpy()[order].astype(np.float64), _flat(got)
+    return fit([(at[ends[k] : ends[k + 1]], x[ends[k] : ends[k + 1]]) for k in order], y)
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' features and values, and where each row's begin; no number becomes an object."""
+    at, x = (pa.concat_arrays([pa.array([], rows.schema.field(c).type.value_type), *(part.flatten() for part in rows[c].chunks)]).to_numpy() for c in ("at", "x"))
+    lengths = [part.value_lengths().to_numpy() for part in rows["at"].chunks]
+    return at, x, np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
 
 
 def score(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
