@@ -8,7 +8,7 @@ from random texts, and 22 equal ones are rare.  So a fingerprint has ``BANDS`` s
 code's whole length; a segment shares an index with that of a text at 0.8 six times in ten.  Its exact
 part is ``ROWS`` least hash values of the shingles, which are equal at 0.8 in 64 % and hardly ever
 in unlike texts.  Every candidate is verified by the shingle sets themselves.  A pair at 0.8 shares
-no key with probability 2e-5 (4e-4 where it has but four and five shingles), a pair at 0.9 with 3e-12.
+no key with probability 2e-5 (4e-4 where it has but four and five shingles), a pair at 0.9 with 1e-10.
 
 Keys of up to ``PAIRS_UP_TO`` texts are joined with themselves.  In larger ones
 every text is first compared with one hub: of the texts near it that hold most of a key's
