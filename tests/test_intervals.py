@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,21 @@ def test_a_hot_key_is_sorted_in_pieces(spark):
     assert {r.id: r.last and r.last.id for r in got.collect()} == want
 
 
+def test_a_hot_key_is_cut_alike_wherever_the_cuts_are_used(spark):
+    """Rows that are dealt to other tasks each time they are computed, as results of tasks meet in another order on a cluster."""
+    def dealt(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([random.random() for _ in range(b.num_rows)])], ["id", "n", "deal"])
+
+    left, right = [spark.range(n).selectExpr("id", time).mapInArrow(dealt, "id long, n long, deal double").repartition(4, "deal").selectExpr("id", "'hot' AS key", "n") for n, time in ((6000, "id * 7 % 6007 AS n"), (1500, "id * 4 AS n"))]
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = intervals.asof(left, right, [("key", "key")], ("n", "n"), ["id"], piece=50)
+        assert {r.id: r.last.id for r in got.collect()} == {k: min(k * 7 % 6007 // 4, 1499) for k in range(6000)}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def spans(seed, n):
     r = random.Random(seed)
     out = []

@@ -36,3 +36,14 @@ def test_entry(spark, sf):
 
     assert __spark_entry__.entry(spark).count() == 1500
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_asof_of_events_that_are_there_several_times(spark, sf, tmp_path):
+    """The SQL has one row for a purchase and user, whatever times the purchase has."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    later = events.selectExpr("event_id", "ts + INTERVAL 2 DAYS AS ts", "user_id", "event_type", "value", "props")
+    events.unionByName(later).unionByName(events.where("event_id % 2 = 0")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = queries.asof_last_event(spark, str(tmp_path))
+    assert rows(got.columns, map(tuple, got.collect())) == rows(got.columns, con.execute(queries.ORACLE_SQL["asof_last_event"]).fetchall())

@@ -2,7 +2,9 @@
 
 ``asof`` sorts both sides together within a key and carries the last right row onward.  A key with
 more than ``PIECE`` rows is cut into pieces of time, which are sorted apart; what the earlier pieces
-end with is carried over.  A row is shuffled once, whatever its key.
+end with is carried over.  A row is shuffled once, whatever its key.  The cuts are written once: they are
+approximate quantiles, which come out otherwise when tasks' results meet in another order, and the rows
+and what is carried over must be cut alike.
 
 ``overlapping`` gives every span a level, the power of two that its length does not exceed, so that
 it lies in two bins of its level at most, and meets spans of its own and of longer levels there.
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.merge import quoted
+from tidemark.sources import files
 
 #: Rows of a key, of both sides, that are sorted in one piece.
 PIECE = 1_000_000
@@ -50,6 +53,9 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[tuple[str, str]], on: t
         spread = lambda df: F.broadcast(df) if count * pieces <= MOST_CUTS else df
         shares = [k / pieces for k in range(1, pieces)]
         cuts = known.join(spread(large.select(*names)), names).groupBy(*names).agg(F.array_distinct(F.percentile_approx("t", shares, 10 * pieces)).alias("cuts"))
+        at = files.fresh(left.sparkSession, "cuts")
+        cuts.write.parquet(at)
+        cuts = left.sparkSession.read.schema(cuts.schema).parquet(at)
         both = both.join(spread(cuts), names, "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("t"))), F.lit(0)))
         ends = both.where("side = 0 and cuts is not null").groupBy(*names, "piece").agg(F.max_by("value", F.struct("t", "tie")).alias("end"))
         # Every piece of a large key, also one that ends nothing.

@@ -736,6 +736,8 @@ def asof_last_event(spark, sf_dir):
     """For each purchase what its user did last before it; users of more than 50 events are cut into pieces of time."""
     kinds = table(spark, sf_dir, "events")
     bought, other = (kinds.where(w).select("event_id", "user_id", "ts") for w in ("event_type = 'purchase'", "event_type <> 'purchase'"))
+    # A purchase that is there several times is one, at its last time.
+    bought = bought.groupBy("event_id", "user_id").agg(F.max("ts").alias("ts"))
     found = intervals.asof(bought, other, [("user_id", "user_id")], ("ts", "ts"), ["event_id"], piece=50)
     return found.select("event_id", "user_id", F.col("last.event_id").alias("last_id"), F.col("last.ts").alias("last_ts"))
 
