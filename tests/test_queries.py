@@ -47,3 +47,17 @@ def test_asof_of_events_that_are_there_several_times(spark, sf, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     got = queries.asof_last_event(spark, str(tmp_path))
     assert rows(got.columns, map(tuple, got.collect())) == rows(got.columns, con.execute(queries.ORACLE_SQL["asof_last_event"]).fetchall())
+
+
+def test_jobs_of_all_pages_do_not_grow_with_the_pages(spark, tmp_path):
+    """40 pages of 25,000 rows in fewer jobs than pages, each row once."""
+    keys = "id AS l_orderkey, int(id % 7) AS l_linenumber, id % 100 AS l_partkey, id % 10 AS l_suppkey"
+    spark.range(1_000_000).selectExpr(*keys.split(", "), "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(id % 50)) AS l_shipdate", "double(id) AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sparkContext.setJobGroup("all pages", "")
+    try:
+        got = queries.pages_cover_source(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("all pages")) < 20
+    assert got.columns == ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    assert got.count() == 1_000_000 and got.exceptAll(spark.read.parquet(f"{tmp_path}/lineitem.parquet").select(*got.columns)).isEmpty()
